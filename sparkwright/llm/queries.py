@@ -6,8 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import byte_bpe
-from sparkwright.llm.common import load
+from sparkwright.llm import byte_bpe, mixing, quality, topk
+from sparkwright.llm.common import Tables, load
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: what it takes of each."""
+    docs = load(spark, sf_dir, "documents")
+    text = F.col("text")
+    sized = docs.select("doc_id", "source", mixing.words(text).alias("size"), mixing.quality_weight(text).alias("weight"))
+    sized = Tables(spark, "op2").write(sized, "sizes")
+    mixed = mixing.mix(sized, F.col("size"), F.col("weight"), ties=F.col("size"))
+    return mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows by inner product for every vector whose id is divisible by 50."""
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +37,67 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs = load(spark, sf_dir, "documents")
+    trees = quality.train(docs, load(spark, sf_dir, "labels"))
+    return quality.assess(docs, trees)
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op8_top_k, op9_byte_bpe, op10_quality)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_mixing": r"""
+        with docs as (
+            select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+                   coalesce(0.5::double + (length(translate(text, '#*$%&|<>', '')) + 1)::double / (length(text) + 1), 1.0::double) as weight
+            from documents
+        ),
+        keyed as (
+            select *, -ln((('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':0'), 1, 12))::bigint::double + 0.5::double) / 281474976710656.0::double) / weight as key
+            from docs
+        ),
+        sources as (
+            select source, source_size, 2 * source_size as cap, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+            from (select source, sum(size)::bigint as source_size from docs group by source)
+        ),
+        levels as (
+            select *, row_number() over (order by cap::double / weight, source nulls last) as place,
+                   (sum(source_size) over ()::double * 1.5::double
+                    - (sum(cap) over (order by cap::double / weight, source nulls last rows unbounded preceding) - cap)::double)
+                   / (sum(weight) over (order by cap::double / weight, source nulls last rows between current row and unbounded following))::double as level
+            from sources
+        ),
+        goals as (
+            select source, source_size, least(cap::double, weight * (select coalesce(min_by(level, place), 0.0::double) from levels where level <= cap::double / weight)) as target
+            from levels
+        ),
+        placed as (
+            select k.doc_id, k.size, g.source_size, g.target,
+                   (sum(k.size) over (partition by k.source order by k.key, k.doc_id, k.size rows unbounded preceding) - k.size)::bigint as before,
+                   case when g.source_size > 0 then floor(g.target / g.source_size)::bigint else 0 end as epochs
+            from keyed k join goals g on k.source is not distinct from g.source
+        )
+        select doc_id, size, source_size, target,
+               (epochs + (size > 0 and 2 * before + size <= 2 * (target - epochs * source_size))::bigint) * size as taken
+        from placed
+    """,
+    "op8_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        parts as (select vec_id, generate_subscripts(v, 1) as d, unnest(v) as x from v),
+        scored as (
+            select q.vec_id as query_id, c.vec_id as vec_id, sum(q.x * c.x)::bigint as score
+            from parts q join parts c on q.d = c.d and q.vec_id <> c.vec_id
+            where q.vec_id % 50 = 0
+            group by q.vec_id, c.vec_id
+        )
+        select query_id, rank::int as rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        where rank <= 5
+    """,
+}
