@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import byte_bpe, mixing, quality, topk
+from sparkwright.llm import byte_bpe, licenses, mixing, pii, quality, topk, toxicity
 from sparkwright.llm.common import Tables, load
 
 
@@ -20,6 +20,41 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases and the labels of every document."""
+    found = licenses.scan(load(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    labels = lambda matches: F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["first"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        "score",
+    )
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    docs = load(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a fifth of the labels, by a checksum of doc_id, is held out."""
+    docs, held_out = load(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lexicon = toxicity.train(docs, load(spark, sf_dir, "labels"), ~held_out)
+    rated = toxicity.rate(docs, lexicon)
+    return rated.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows by inner product for every vector whose id is divisible by 50."""
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -44,7 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, trees)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op8_top_k, op9_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op5_pii, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
 
 ORACLES = {
     "op2_mixing": r"""
