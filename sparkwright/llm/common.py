@@ -100,3 +100,36 @@ class Tables:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], Iterator[pa.RecordBatch]], schema: str, n_parts: int | None = None) -> DataFrame:
+    """fn of each group of rows with equal keys, which come sorted to one task, one group after another.
+
+    For many small groups; callers bound the size of a group. fn gets the keys' values and the group's rows.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            values = list(zip(*columns, strict=True))
+            at = 0
+            while at < len(values):
+                end = at
+                while end < len(values) and values[end] == values[at]:
+                    end += 1
+                if key is not None and values[at] != key:
+                    yield from fn(key, pa.Table.from_batches(held))
+                    held = []
+                key = values[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from fn(key, pa.Table.from_batches(held))
+
+    dealt = df.repartition(n_parts or partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import byte_bpe, licenses, mixing, pii, quality, topk, toxicity
+from sparkwright.llm import byte_bpe, licenses, mixing, near_dup, pii, quality, topk, toxicity
 from sparkwright.llm.common import Tables, load
 
 
@@ -37,6 +37,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates of all documents, on sets of four-word shingles."""
+    return near_dup.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     docs = load(spark, sf_dir, "documents")
@@ -79,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, trees)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op5_pii, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op4_near_dup, op5_pii, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
 
 ORACLES = {
     "op2_mixing": r"""
@@ -117,6 +122,39 @@ ORACLES = {
                (epochs + (size > 0 and 2 * before + size <= 2 * (target - epochs * source_size))::bigint) * size as taken
         from placed
     """,
+    "op4_near_dup": r"""
+        with recursive words as (
+            select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w
+            from documents
+        ),
+        shingles as (
+            select distinct doc_id, s
+            from (
+                select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
+                from words
+            )
+        ),
+        sizes as (select doc_id, count(*)::bigint as n_shingles from shingles group by doc_id),
+        pairs as (
+            select a.doc_id as a, b.doc_id as b, count(*) as both
+            from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+            group by a.doc_id, b.doc_id
+        ),
+        links as (
+            select p.a, p.b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b
+            where 100 * p.both >= 80 * (x.n_shingles + y.n_shingles - p.both)
+        ),
+        both_ways as (select a, b from links union all select b, a from links),
+        reach(doc_id, r) as (
+            select doc_id, doc_id from documents
+            union
+            select e.b, r.r from reach r join both_ways e on e.a = r.doc_id
+        ),
+        least_reached as (select doc_id, min(r) as component_id from reach group by doc_id)
+        select d.doc_id, coalesce(n_shingles, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+        from documents d left join sizes using (doc_id) join least_reached using (doc_id)
+    """,
     "op8_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
