@@ -44,6 +44,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow on executors that have the package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
@@ -107,7 +112,6 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], I
 
     For many small groups; callers bound the size of a group. fn gets the keys' values and the group's rows.
     """
-    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -132,4 +136,4 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], I
             yield from fn(key, pa.Table.from_batches(held))
 
     dealt = df.repartition(n_parts or partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import byte_bpe, licenses, mixing, near_dup, pii, quality, topk, toxicity
+from sparkwright.llm import byte_bpe, licenses, mixing, near_dup, pii, quality, suffix_dedup, topk, toxicity
 from sparkwright.llm.common import Tables, load
 
 
@@ -52,6 +52,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that each document loses to passages of documents before it, and a digest of the rest."""
+    found = suffix_dedup.dedup(load(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a fifth of the labels, by a checksum of doc_id, is held out."""
     docs, held_out = load(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -84,7 +91,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, trees)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op4_near_dup, op5_pii, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op4_near_dup, op5_pii, op6_suffix_dedup, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
 
 ORACLES = {
     "op2_mixing": r"""
