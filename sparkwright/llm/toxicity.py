@@ -80,10 +80,9 @@ def fit(texts: list[str], y: np.ndarray, *, rounds: int = 120, rate: float = 0.1
     """Weights by Adam on the noisy-or's likelihood, shrunk towards zero after each step."""
     if len(y) == 0 or y.min() == y.max():
         return None
-    split = [[terms(m[0]) for m in _sentences(t)] for t in texts]
     frequency, within = Counter(), Counter()
-    for doc, label in zip(split, y, strict=True):
-        found = {w for s in doc for w in s}
+    for text, label in zip(texts, y, strict=True):
+        found = {w for m in _sentences(text) for w in terms(m[0])}
         frequency.update(found)
         if label > 0:
             within.update(found)
@@ -91,14 +90,14 @@ def fit(texts: list[str], y: np.ndarray, *, rounds: int = 120, rate: float = 0.1
     chosen = sorted((-n, w) for w, n in frequency.items() if n >= LEAST_DOCS and within[w] >= enough * n)[:VOCABULARY]
     index = {w: i for i, (_, w) in enumerate(chosen)}
     word, sentence, doc_of = [], [], []
-    for d, doc in enumerate(split):
-        for s in doc:
-            ids = [index[w] for w in s if w in index]
+    for d, text in enumerate(texts):
+        for m in _sentences(text):
+            ids = [index[w] for w in terms(m[0]) if w in index]
             word += ids
             sentence += [len(doc_of)] * len(ids)
             doc_of.append(d)
     word, sentence, doc_of = np.array(word, np.int32), np.array(sentence, np.int32), np.array(doc_of, np.int32)
-    del split
+    del frequency, within
     w, bias = np.zeros(len(index)), -5.0
     m, v, mb, vb = np.zeros(len(index)), np.zeros(len(index)), 0.0, 0.0
     n = len(y)
