@@ -135,6 +135,23 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def forest_of_pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs (a, b) that make a spanning forest of their graph."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if (p := top(x)) != (q := top(y)):
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """The matrix of numbers of common elements of sets."""
     n = len(sets)

@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import byte_bpe, licenses, mixing, near_dup, pii, quality, suffix_dedup, topk, toxicity
+from sparkwright.llm import byte_bpe, licenses, line_dedup, mixing, near_dup, pii, quality, suffix_dedup, topk, toxicity
 from sparkwright.llm.common import Tables, load
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document loses to equal or similar lines before them, its lines' links, and a digest of the rest."""
+    found = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_links").alias("n_links"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: what it takes of each."""
     docs = load(spark, sf_dir, "documents")
@@ -91,7 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, trees)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op4_near_dup, op5_pii, op6_suffix_dedup, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_licenses, op4_near_dup, op5_pii, op6_suffix_dedup, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
 
 ORACLES = {
     "op2_mixing": r"""
