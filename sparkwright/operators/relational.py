@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.aggregates import Aggregate
+from sparkwright.functions.aggregates import Aggregate, PandasCustom
 from sparkwright.sources.storage import shared_path
 
 #: Rows up to which the inner side of an index join may be broadcast without asking Spark for its size in bytes.
@@ -59,8 +59,18 @@ def join_index(outer: DataFrame, inner: DataFrame, *pairs: tuple[str, str], most
 
 
 def group_by(df: DataFrame, keys: list[str], aggregates: list[Aggregate]) -> DataFrame:
-    """Keys and aggregates of each group; no rows in, no groups out."""
-    return df.groupBy(*keys).agg(*(a.column().alias(a.name) for a in aggregates))
+    """Keys and aggregates of each group; no rows in, no groups out.
+
+    Spark does not mix pandas aggregates with others, so they are grouped on their own and joined by the keys.
+    """
+    sorts = [[a for a in aggregates if isinstance(a, PandasCustom) is python] for python in (False, True)]
+    made = [df.groupBy(*keys).agg(*(a.column().alias(a.name) for a in some)) for some in sorts if some]
+    if len(made) == 1:
+        return made[0]
+    plain, python = made
+    renamed = python.select(*(F.col(k).alias(f"_{k}") for k in keys), *(a.name for a in sorts[1]))
+    same = reduce(lambda a, b: a & b, (plain[k].eqNullSafe(renamed[f"_{k}"]) for k in keys))
+    return plain.join(renamed, same).select(*keys, *(a.name for a in aggregates))
 
 
 def sort(df: DataFrame, *columns: str) -> DataFrame:
