@@ -19,8 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: For str.translate: A-Z only, as the contracts ask; str.lower would change other letters too.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+
+def lower_text(text: str) -> str:
+    """A text with A-Z lower-cased and nothing else, as the contracts ask; str.lower would change other letters too."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkwright.llm.common import ASCII_LOWER, documents, map_arrow
+from sparkwright.llm.common import documents, lower_text, map_arrow
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -148,7 +148,7 @@ def compiled(templates: tuple[str, ...]) -> Automaton:
 
 
 def license_words(text: str) -> list[str]:
-    return _tokens(text.translate(ASCII_LOWER))
+    return _tokens(lower_text(text))
 
 
 def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

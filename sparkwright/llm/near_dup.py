@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import ASCII_LOWER, WORD, Tables, documents, map_arrow, map_groups, partitions
+from sparkwright.llm.common import WORD, Tables, documents, lower_text, map_arrow, map_groups, partitions
 from sparkwright.llm.graph import components
 
 ROWS, SKETCHES = 3, 16
@@ -55,7 +55,7 @@ class Shingler:
         self.width, self.known = width, {}
 
     def __call__(self, text: str) -> np.ndarray:
-        words = _words(text.translate(ASCII_LOWER))
+        words = _words(lower_text(text))
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
