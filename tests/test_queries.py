@@ -1,5 +1,5 @@
 import pytest
-from conftest import bag
+from bags import bag
 
 from sparkwright.plans.catalogue import ORACLES, QUERIES
 
