@@ -17,6 +17,8 @@ from sparkwright.shipping import ship
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,9 +84,13 @@ class Tables:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read back."""
-        path = f"{self.root}/{name}"
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        path, schema, conf = f"{self.root}/{name}", df.schema, self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")  # shuffle files go with the query that wrote them
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

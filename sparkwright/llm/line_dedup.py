@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.common import Tables, map_batches, partitions
@@ -69,11 +69,19 @@ class Keys:
         return self.places[length]
 
     def hashes(self, line: str) -> list[tuple[int, bool]]:
-        return [(xxhash.xxh64_intdigest(line[a:b].encode(), seed), own) for seed, a, b, own in self.of(len(line))]
+        raw, digest = line.encode(), xxhash.xxh64_intdigest
+        if len(raw) == len(line):  # then places in the text are places in its bytes
+            return [(digest(raw[a:b], seed), own) for seed, a, b, own in self.of(len(line))]
+        return [(digest(line[a:b].encode(), seed), own) for seed, a, b, own in self.of(len(line))]
 
 
 def line_hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode(), 7) >> 1
+    """The same as line_id in Spark."""
+    return xxhash.xxh64_intdigest(line.encode(), 42) >> 1
+
+
+def line_id(line: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(line), 1)
 
 
 def edit_distance_at_most(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
@@ -169,32 +177,14 @@ def line_rows(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """(line, doc_id, uid, place) of every line of docs (doc_id, uid, text) that is long enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, rows, places = [], [], []
-            for row, text in enumerate(batch.column(2)):
-                for place, line in enumerate(text.as_py().split("\n")):
-                    if len(line) >= least:
-                        lines.append(line_hash(line))
-                        rows.append(row)
-                        places.append(place)
-            take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(places, pa.int32())], ["line", "doc_id", "uid", "place"])
-
-    return map_batches(docs, run, "line long, doc_id long, uid long, place int")
+    lines = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n", -1)).alias("place", "content"))
+    return lines.where(F.length("content") >= least).select(line_id(F.col("content")).alias("line"), "doc_id", "uid", "place")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """(line, content) of the wanted lines (line), once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = list({line for text in batch.column(0) for line in text.as_py().split("\n") if len(line) >= least})
-            yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], ["line", "content"])
-
-    lines = map_batches(docs.select("text"), run, "line long, content string")
-    return lines.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("content").alias("content"))
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("content")).where(F.length("content") >= least)
+    return lines.select(line_id(F.col("content")).alias("line"), "content").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("content").alias("content"))
 
 
 def links(cells: DataFrame, edits: int, n_parts: int) -> DataFrame:
@@ -271,12 +261,14 @@ def links(cells: DataFrame, edits: int, n_parts: int) -> DataFrame:
 def line_classes(docs: DataFrame, tables: Tables, edits: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Links between distinct lines of docs (doc_id, uid, text): (node, component) and (line, n_links)."""
     n_parts = partitions(docs.sparkSession)
-    rows = tables.write(line_rows(docs, edits, least), "keys")
-    line = F.shiftright("ref", 1)
-    met = rows.groupBy("key").agg(F.min(line).alias("x"), F.max(line).alias("y"), F.max(F.col("ref").bitwiseAND(1)).alias("own"))
-    members = rows.join(met.where("x <> y and own = 1").select("key"), "key").groupBy("key", line.alias("line")).agg(F.max(F.col("ref").bitwiseAND(1)).alias("own"))
-    members = tables.write(members, "members")
-    tables.drop("keys")
+    rows = line_rows(docs, edits, least)  # made twice: hashing them again costs less than keeping them
+    met = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").hint("shuffle_hash")
+    line = F.shiftrightunsigned("ref", 1)
+    members = rows.join(met, "key").groupBy("key", line.alias("line")).agg(F.max(F.col("ref").bitwiseAND(1)).alias("own"))
+    members = tables.write(members, "equal-keys")
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any = 1").select("key")
+    members = tables.write(members.join(several, "key"), "members")
+    tables.drop("equal-keys")
     content = texts_of(docs, members.select("line").distinct(), least)
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("line", F.lit(5)), F.col("blocks")).cast("int"))
@@ -301,15 +293,26 @@ def removed_lines(docs: DataFrame, tables: Tables, edits: int, least: int) -> Da
 
 
 def dedup(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with _kept (the text without later lines; null stays null), _n_lines, _n_removed and _n_links."""
+    """docs, all columns, with _kept, _n_lines, _n_removed and _n_links, which replace any of docs.
+
+    _kept is the text without the lines that go; null stays null.
+    """
     tables = Tables(docs.sparkSession, "lines")
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.coalesce(F.col(text_col).cast("string"), F.lit(""))}).withColumn("_uid", F.xxhash64("_id", "_text"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), text(F.col(text_col)).alias("_text"))
+    rows = rows.withColumn("_uid", F.xxhash64("_id", "_text"))
     plain = rows.select(F.col("_id").alias("doc_id"), F.col("_uid").alias("uid"), F.col("_text").alias("text"))
     gone = removed_lines(plain, tables, edits, least)
-    gone = gone.select(F.coalesce("doc_id", F.lit(-1)).alias("_join"), F.col("uid").alias("_uid"), F.col("places").alias("_places"), F.col("n_links").alias("_n_links"))
-    joined = rows.withColumn("_join", F.coalesce("_id", F.lit(-1))).join(gone, ["_join", "_uid"], "left")
-    lines = F.split("_text", "\n", -1)
+    gone = gone.select(F.coalesce("doc_id", F.lit(-1)).alias("_join"), F.col("uid").alias("_uid"), F.col("places").alias("_places"), F.col("n_links").alias("_links"))
+    joined = rows.select("_row", "_uid", F.coalesce("_id", F.lit(-1)).alias("_join")).join(gone, ["_join", "_uid"], "left")
+    raw = F.col("_row")[text_col]
+    lines = F.split(text(raw), "\n", -1)
     going = F.coalesce("_places", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(going, i)), "\n")
-    kept = F.when(F.col(text_col).isNull(), F.lit(None)).when(F.size(going) == 0, F.col("_text")).otherwise(kept)
-    return joined.select(*docs.columns, kept.alias("_kept"), F.size(lines).cast("long").alias("_n_lines"), F.size(going).cast("long").alias("_n_removed"), F.coalesce("_n_links", F.lit(0)).cast("long").alias("_n_links"))
+    made = {
+        "_kept": F.when(raw.isNull(), F.lit(None)).when(F.size(going) == 0, text(raw)).otherwise(kept),
+        "_n_lines": F.size(lines).cast("long"),
+        "_n_removed": F.size(going).cast("long"),
+        "_n_links": F.coalesce("_links", F.lit(0)).cast("long"),
+    }
+    return joined.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in made), *(c.alias(n) for n, c in made.items()))

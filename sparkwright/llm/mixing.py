@@ -70,14 +70,21 @@ def targets(totals: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: Column, weight: Column, *, source_col: str = "source", id_col: str = "doc_id", ties: Column | None = None, seed: int = 0) -> DataFrame:
-    """The rows of docs, all columns, with _size, _source_size, _target, _copies and _taken.
+    """The rows of docs, all columns, with _size, _source_size, _target, _copies and _taken, which replace any of docs.
 
     _copies is how often the mix holds the document, _taken that many times its size. ties orders rows of equal
     keys and ids (a hash of the text, say).
     """
     n_buckets = max(LEAST_BUCKETS, docs.count() // BUCKET_ROWS)
-    rows = docs.withColumns({"_size": size.cast("long"), "_key": exponential_key(F.col(id_col), weight, seed), "_tie": ties if ties is not None else F.lit(0)})
-    rows = rows.withColumns({"_source": F.col(source_col), "_bucket": F.least(F.lit(n_buckets - 1), F.floor(n_buckets * (1 - F.exp(-F.col("_key")))))})
+    rows = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"),  # so that no column of docs meets the names below
+        size.cast("long").alias("_size"),
+        exponential_key(F.col(id_col), weight, seed).alias("_key"),
+        (ties if ties is not None else F.lit(0)).alias("_tie"),
+        F.col(id_col).alias("_id"),
+        F.col(source_col).cast("string").alias("_source"),
+    )
+    rows = rows.withColumn("_bucket", F.least(F.lit(n_buckets - 1), F.floor(n_buckets * (1 - F.exp(-F.col("_key"))))))
 
     # sources as (is null, name), so that joins need no null-safe comparison
     part = [F.col("_source").isNull().alias("_none"), F.coalesce("_source", F.lit("")).alias("_name"), F.col("_bucket")]
@@ -88,10 +95,11 @@ def mix(docs: DataFrame, size: Column, weight: Column, *, source_col: str = "sou
     order = Window.partitionBy("_none", "_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     starts = buckets.withColumn("_start", F.sum("_bucket_size").over(order) - F.col("_bucket_size")).drop("_bucket_size").join(goals, ["_none", "_name"])
 
-    within = Window.partitionBy("_none", "_name", "_bucket").orderBy("_key", F.col(id_col), "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_none", "_name", "_bucket").orderBy("_key", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumns({"_none": part[0], "_name": part[1]}).withColumn("_before", F.sum("_size").over(within) - F.col("_size")).join(starts, ["_none", "_name", "_bucket"])
     epochs = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0))
     rest = F.col("_target") - F.col("_epochs") * F.col("_source_size")
     fits = (F.col("_size") > 0) & (2 * (F.col("_start") + F.col("_before")) + F.col("_size") <= 2 * F.col("_rest"))
     placed = placed.withColumn("_epochs", epochs.cast("long")).withColumn("_rest", rest).withColumn("_copies", F.col("_epochs") + fits.cast("long"))
-    return placed.select(*docs.columns, "_size", "_source_size", "_target", "_copies", (F.col("_copies") * F.col("_size")).alias("_taken"))
+    made = {"_size": F.col("_size"), "_source_size": F.col("_source_size"), "_target": F.col("_target"), "_copies": F.col("_copies"), "_taken": F.col("_copies") * F.col("_size")}
+    return placed.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in made), *(c.alias(n) for n, c in made.items()))

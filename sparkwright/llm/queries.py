@@ -168,6 +168,39 @@ ORACLES = {
         select d.doc_id, coalesce(n_shingles, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
         from documents d left join sizes using (doc_id) join least_reached using (doc_id)
     """,
+    "op6_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        windows as (
+            select doc_id, p, substr(h, 2 * p + 1, 100) as s
+            from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) as p from d)
+        ),
+        later as (
+            select distinct doc_id, p
+            from (select doc_id, p, min(doc_id) over (partition by s) as first_id from windows)
+            where doc_id > first_id
+        ),
+        marked as (
+            select doc_id, p, coalesce(p > lag(p) over (partition by doc_id order by p) + 50, true)::int as starts
+            from later
+        ),
+        runs as (
+            select doc_id, min(p) as a, max(p) + 50 as b
+            from (select doc_id, p, sum(starts) over (partition by doc_id order by p) as run from marked)
+            group by doc_id, run
+        ),
+        pieces as (
+            select r.doc_id, r.a, r.b, substr(d.h, 2 * coalesce(lag(r.b) over (partition by r.doc_id order by r.a), 0) + 1,
+                                              2 * (r.a - coalesce(lag(r.b) over (partition by r.doc_id order by r.a), 0))) as before
+            from runs r join d using (doc_id)
+        ),
+        removed as (
+            select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans, max(b) as last, string_agg(before, '' order by a) as kept
+            from pieces group by doc_id
+        )
+        select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+        from d left join removed using (doc_id)
+    """,
     "op8_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v

@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *,
 
 def rate(docs: DataFrame, lexicon: Lexicon | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and the offending sentences (start, end, score) of every whole text."""
-    model = docs.sparkSession.sparkContext.broadcast(lexicon or Lexicon({}, -700.0))  # VOCABULARY words at most
+    model = docs.sparkSession.sparkContext.broadcast(lexicon or Lexicon({}, -800.0))  # VOCABULARY words at most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [score(model.value, t.as_py()) for t in batch.column(1)]
