@@ -100,6 +100,49 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_licenses, op4_near_dup, op5_pii, op6_suffix_dedup, op7_toxicity, op8_top_k, op9_byte_bpe, op10_quality)}
 
 ORACLES = {
+    "op1_line_dedup": r"""
+        with recursive places as (
+            select doc_id, unnest(str_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) - 1 as place
+            from documents
+        ),
+        -- levenshtein counts bytes, so letters of more than one get a byte each
+        distinct_lines as (
+            select line, length(line) as n, translate(line, 'ÄÖÜäöüßÉÈÊÇéèêçÓÍÑóíñ', array_to_string(list_transform(range(1, 22), lambda i: chr(i::int)), '')) as bytes
+            from (select distinct line from places where length(line) >= 20)
+        ),
+        segments as (
+            select line, n, i, (n // 3) * i + greatest(0, i - (3 - n % 3)) as start, n // 3 + (i >= 3 - n % 3)::int as size
+            from distinct_lines, unnest([0, 1, 2]) as t(i)
+        ),
+        probes as (
+            select line, n - delta as short, i, substr(line, (((n - delta) // 3) * i + greatest(0, i - (3 - (n - delta) % 3)) + shift + 1)::bigint,
+                                                       (((n - delta) // 3) + (i >= 3 - (n - delta) % 3)::int)::bigint) as content
+            from distinct_lines, unnest([0, 1, 2]) as t(i), unnest([0, 1, 2]) as u(delta), unnest([-2, -1, 0, 1, 2]) as v(shift)
+            where ((n - delta) // 3) * i + greatest(0, i - (3 - (n - delta) % 3)) + shift >= 0
+        ),
+        links as (
+            select distinct s.line as a, p.line as b
+            from segments s join probes p on p.short = s.n and p.i = s.i and p.content = substr(s.line, (s.start + 1)::bigint, s.size::bigint) and p.line <> s.line
+            join distinct_lines x on x.line = s.line join distinct_lines y on y.line = p.line
+            where levenshtein(x.bytes, y.bytes) <= 2
+        ),
+        both_ways as (select a, b from links union select b, a from links),
+        reach(line, r) as (
+            select a, a from both_ways
+            union
+            select e.b, r.r from reach r join both_ways e on e.a = r.line
+        ),
+        classes as (select line, min(r) as class from reach group by line),
+        counts as (select a as line, count(*) as n_links from both_ways group by a),
+        marked as (
+            select p.doc_id, p.place, p.line, coalesce(n_links, 0) as n_links,
+                   length(p.line) >= 20 and row_number() over (partition by coalesce(class, p.line) order by doc_id, place) > 1 as goes
+            from places p left join classes using (line) left join counts using (line)
+        )
+        select doc_id, count(*)::bigint as n_lines, count_if(goes)::bigint as n_removed, sum(n_links)::bigint as n_links,
+               sha256(coalesce(string_agg(line, chr(10) order by place) filter (not goes), '')) as kept_sha256
+        from marked group by doc_id
+    """,
     "op2_mixing": r"""
         with docs as (
             select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
