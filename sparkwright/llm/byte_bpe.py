@@ -12,17 +12,25 @@ from __future__ import annotations
 
 import base64
 import json
-from functools import lru_cache
+import os
+from functools import cached_property, lru_cache
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from sparkwright.llm.common import documents, map_arrow
 
-#: Distinct pieces that a worker keeps before it starts afresh; pieces over LONG_PIECE characters are not kept.
-KEPT_PIECES = 400_000
+#: Distinct pieces of a generation; a worker keeps two, and what is used again moves to the newer one. Pieces over
+#: LONG_PIECE characters are not kept.
+KEPT_PIECES = 150_000
 LONG_PIECE = 64
+#: Rows of text that are encoded or decoded before their results go on.
+SLICE = 1_000
 
 #: What an id outside the vocabulary decodes to: U+FFFD in UTF-8.
 UNKNOWN = b"\xef\xbf\xbd"
@@ -64,38 +72,40 @@ class Codec:
     """Encodes texts to ids and ids to bytes for one vocabulary and pattern."""
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
-        import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
-
-        chars = byte_characters()
-        spell = lambda token: "".join(chars[b] for b in token)
-        model = models.BPE(
-            vocab={spell(t): r for t, r in ranks.items()},
-            merges=[(spell(a), spell(b)) for a, b in merges],
-            ignore_merges=True,
-        )
-        self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ranks, self.merges = ranks, merges
         self.split = regex.compile(pattern)
         self.table = [UNKNOWN] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.offsets: dict[str, list[tuple[int, int]]] = {}
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        new = list(pieces)
-        found = {
-            piece: np.asarray(e.ids, dtype="<u4").tobytes()
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)
-        }
-        if len(self.ids) + len(found) > KEPT_PIECES:
-            self.ids.clear()
-        self.ids.update((p, b) for p, b in found.items() if len(p) <= LONG_PIECE)
-        return found
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's tokenizer; decoding does without."""
+        chars = byte_characters()
+        spell = lambda token: "".join(chars[b] for b in token)
+        vocab = {spell(t): r for t, r in self.ranks.items()}
+        out = Tokenizer(models.BPE(vocab=vocab, merges=[(spell(a), spell(b)) for a, b in self.merges], ignore_merges=True))
+        out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return out
+
+    def _known(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces: kept ones, and others as the library encodes them."""
+        have, new = {}, []
+        for p in pieces:
+            ids = self.ids.get(p) or self.older.get(p)
+            if ids:
+                have[p] = ids
+            else:
+                new.append(p)
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            have[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+        if len(self.ids) > KEPT_PIECES:
+            self.ids, self.older = {}, self.ids
+        self.ids.update((p, b) for p, b in have.items() if len(p) <= LONG_PIECE)
+        return have
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -103,9 +113,7 @@ class Codec:
         try:
             return b"".join(map(self.ids.__getitem__, pieces))
         except KeyError:
-            have = {p: self.ids[p] for p in set(pieces) if p in self.ids}
-            have.update(self._learn(set(pieces).difference(have)))
-            return b"".join(map(have.__getitem__, pieces))
+            return b"".join(map(self._known(set(pieces)).__getitem__, pieces))
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """The characters [start, end) that each id comes from; ids that share a character share its span."""
@@ -166,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, offsets: bool = False, i
             names += ["starts", "ends"]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_arrow(documents(docs, id_col, text_col), run, f"doc_id long, n_tokens long, ids binary{fields}")
+    return map_arrow(documents(docs, id_col, text_col), run, f"doc_id long, n_tokens long, ids binary{fields}", SLICE)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -181,4 +189,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         decoded = [codec.decode(x.as_py() or b"") for x in batch.column(2)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, decoded binary", SLICE)

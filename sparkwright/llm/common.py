@@ -40,13 +40,15 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """df.mapInArrow of a function of one batch; batches of no rows are skipped."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
+    """df.mapInArrow of a function of one batch, or of slices of so many rows; batches of no rows are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            step = rows or batch.num_rows
+            for at in range(0, batch.num_rows, step or 1):
+                if (out := fn(batch.slice(at, step))) is not None:
+                    yield out
 
     return map_batches(df, run, schema)
 
