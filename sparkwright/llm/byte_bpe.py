@@ -91,29 +91,27 @@ class Codec:
         out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return out
 
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces: kept ones, and others as the library encodes them."""
-        have, new = {}, []
-        for p in pieces:
-            ids = self.ids.get(p) or self.older.get(p)
-            if ids:
-                have[p] = ids
-            else:
-                new.append(p)
+    def _learn(self, missing: set[str]) -> None:
+        """Keeps the ids of pieces: those of the older generation, and others as the library encodes them."""
+        found = {p: ids for p in missing if (ids := self.older.get(p))}
+        new = [p for p in missing if p not in found]
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            have[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-        if len(self.ids) > KEPT_PIECES:
-            self.ids, self.older = {}, self.ids
-        self.ids.update((p, b) for p, b in have.items() if len(p) <= LONG_PIECE)
-        return have
+            found[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self.ids.update(found)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
+        if len(self.ids) > KEPT_PIECES:
+            self.ids, self.older = {}, self.ids
         pieces = self.split.findall(text)
-        try:
-            return b"".join(map(self.ids.__getitem__, pieces))
-        except KeyError:
-            return b"".join(map(self._known(set(pieces)).__getitem__, pieces))
+        missing = set(pieces).difference(self.ids)
+        if missing:
+            self._learn(missing)
+        ids = b"".join(map(self.ids.__getitem__, pieces))
+        for p in missing:
+            if len(p) > LONG_PIECE:
+                del self.ids[p]
+        return ids
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """The characters [start, end) that each id comes from; ids that share a character share its span."""
