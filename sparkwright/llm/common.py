@@ -76,8 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Tables:
     """Intermediate tables of one operator run, written to the shared folder and read again.
 
-    A written table cuts the lineage and survives lost executors. drop() removes those that are no longer
-    needed; what a returned DataFrame still reads goes when the process ends.
+    A written table cuts the lineage and survives lost executors. drop() and keep_only() remove those that are no
+    longer needed; what a returned DataFrame still reads goes when the process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -99,6 +99,14 @@ class Tables:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def keep_only(self, *names: str) -> None:
+        """Removes all tables of this run but those of these names."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            self.drop(*(name for status in fs.listStatus(at) if (name := status.getPath().getName()) not in names))
+
     def close(self) -> None:
         if self.spark.sparkContext._jsc is not None:
             self._remove(self.root)

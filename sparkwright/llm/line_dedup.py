@@ -302,7 +302,8 @@ def dedup(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST_CHARS, id_c
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), text(F.col(text_col)).alias("_text"))
     rows = rows.withColumn("_uid", F.xxhash64("_id", "_text"))
     plain = rows.select(F.col("_id").alias("doc_id"), F.col("_uid").alias("uid"), F.col("_text").alias("text"))
-    gone = removed_lines(plain, tables, edits, least)
+    gone = tables.write(removed_lines(plain, tables, edits, least), "removed")
+    tables.keep_only("removed")
     gone = gone.select(F.coalesce("doc_id", F.lit(-1)).alias("_join"), F.col("uid").alias("_uid"), F.col("places").alias("_places"), F.col("n_links").alias("_links"))
     joined = rows.select("_row", "_uid", F.coalesce("_id", F.lit(-1)).alias("_join")).join(gone, ["_join", "_uid"], "left")
     raw = F.col("_row")[text_col]

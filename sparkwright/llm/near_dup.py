@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     found = components(links(tables.write(families, "families"), docs.where("doc_id is not null"), width, percent, partitions(spark)), tables, "links")
 
     comp = tables.write(found.select(F.col("node").alias("rep"), "component"), "components")
+    tables.keep_only("sketches", "members", "components")
     linked = members.select("doc_id", "n_shingles", "rep").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = all_docs.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -378,7 +378,7 @@ def spans_to_remove(docs: DataFrame, tables: Tables) -> DataFrame:
     replies = found.where("doc_id is not null").groupBy("doc_id", "uid").agg(F.collect_list("keys").alias("keys"))
     with_keys = docs.join(replies, ["doc_id", "uid"]).select("doc_id", "uid", "text", "keys")
     gone = tables.write(covered(stretch_rows(with_keys, hot_keys, n_anchor, n_stretch), n_parts), "covered")
-    tables.drop("anchors")
+    tables.keep_only("covered")
     return gone.groupBy("doc_id", "uid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
 
