@@ -202,3 +202,9 @@ def test_operators(spark):
 def test_hints(spark, join, node):
     a, b = spark.range(10).withColumnRenamed("id", "a"), spark.range(10).withColumnRenamed("id", "b")
     assert node in join(a, b, ("a", "b"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pushdown(engine):
+    """The filter and the two columns reach the scan."""
+    plan = engine.query("select b from t where a = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(a,1)" in plan and "ReadSchema: struct<a:int,b:int>" in plan
