@@ -64,6 +64,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df dealt out anew, so that a join on the key by which it was aggregated has a shuffle of its own on this side.
+
+    Only then can Spark split a hot key's rows on the other side.
+    """
+    return df.repartition(partitions(df.sparkSession))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables: spark.checkpoint.dir, which driver and executors share.
 

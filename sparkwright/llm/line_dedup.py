@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import Tables, map_batches, partitions
+from sparkwright.llm.common import Tables, apart, map_batches, partitions
 from sparkwright.llm.graph import components
 from sparkwright.llm.near_dup import forest_of_pairs
 
@@ -287,8 +287,8 @@ def removed_lines(docs: DataFrame, tables: Tables, edits: int, least: int) -> Da
     per_line = seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     per_line = per_line.join(classes.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("component", "line"))
     first = per_line.groupBy("class").agg(F.min("first").alias("least"), F.sum("times").alias("times")).where("times > 1").select("class", "least")
-    goes = per_line.select("line", "class").join(first, "class").join(counts, "line", "left").select("line", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    hits = seen.join(goes, "line").select("doc_id", "uid", "n_links", F.when(place != F.col("least"), F.col("place")).alias("place"))
+    goes = per_line.select("line", "class").join(apart(first), "class").join(counts, "line", "left").select("line", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    hits = seen.join(apart(goes), "line").select("doc_id", "uid", "n_links", F.when(place != F.col("least"), F.col("place")).alias("place"))
     return hits.groupBy("doc_id", "uid").agg(F.collect_list("place").alias("places"), F.sum("n_links").alias("n_links"))
 
 

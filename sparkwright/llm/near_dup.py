@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import WORD, Tables, documents, lower_text, map_arrow, map_groups, partitions
+from sparkwright.llm.common import WORD, Tables, apart, documents, lower_text, map_arrow, map_groups, partitions
 from sparkwright.llm.graph import components
 
 ROWS, SKETCHES = 3, 16
@@ -107,10 +107,10 @@ def candidates(reps: DataFrame) -> DataFrame:
     """(a, b): pairs of representatives (doc_id, sketches) that meet in a bucket and have enough equal sketches."""
     left = reps.select("doc_id", F.posexplode(F.slice("sketches", 1, SKETCHES)).alias("i", "h")).select("doc_id", F.xxhash64("i", "h").alias("left"))
     shared = left.groupBy("left").agg(F.count("*").alias("n")).where("n > 1").select("left")
-    right = left.join(shared, "left").join(reps, "doc_id").select("doc_id", "left", F.posexplode(F.slice("sketches", SKETCHES + 1, SKETCHES)).alias("j", "h"))
+    right = left.join(apart(shared), "left").join(reps, "doc_id").select("doc_id", "left", F.posexplode(F.slice("sketches", SKETCHES + 1, SKETCHES)).alias("j", "h"))
     tables = right.select("doc_id", F.xxhash64("left", "j", "h").alias("bucket"))
     first = tables.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    pairs = tables.join(first, "bucket").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = tables.join(apart(first), "bucket").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     one = reps.select(F.col("doc_id").alias("a"), F.col("sketches").alias("sa"))
     two = reps.select(F.col("doc_id").alias("b"), F.col("sketches").alias("sb"))
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     all_docs = tables.write(sketches(docs, width), "sketches")
     named = all_docs.where("doc_id is not null and set_key is not null")
     first = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = tables.write(named.join(first, "set_key").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketches")).alias("sketches")), "members")
+    members = tables.write(named.join(apart(first), "set_key").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketches")).alias("sketches")), "members")
     reps = members.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketches")
 
     soft = components(candidates(reps.select("doc_id", "sketches")), tables, "families")
