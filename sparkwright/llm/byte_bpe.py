@@ -27,7 +27,7 @@ from sparkwright.llm.common import documents, map_arrow
 
 #: Distinct pieces of a generation; a worker keeps two, and what is used again moves to the newer one. Pieces over
 #: LONG_PIECE characters are not kept.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 80_000
 LONG_PIECE = 64
 #: Rows of text that are encoded or decoded before their results go on.
 SLICE = 1_000
@@ -72,7 +72,7 @@ class Codec:
     """Encodes texts to ids and ids to bytes for one vocabulary and pattern."""
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str):
-        self.ranks, self.merges = ranks, merges
+        self._parts = ranks, merges
         self.split = regex.compile(pattern)
         self.table = [UNKNOWN] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -86,8 +86,9 @@ class Codec:
         """The library's tokenizer; decoding does without."""
         chars = byte_characters()
         spell = lambda token: "".join(chars[b] for b in token)
-        vocab = {spell(t): r for t, r in self.ranks.items()}
-        out = Tokenizer(models.BPE(vocab=vocab, merges=[(spell(a), spell(b)) for a, b in self.merges], ignore_merges=True))
+        ranks, merges = self.__dict__.pop("_parts")  # not needed again
+        vocab = {spell(t): r for t, r in ranks.items()}
+        out = Tokenizer(models.BPE(vocab=vocab, merges=[(spell(a), spell(b)) for a, b in merges], ignore_merges=True))
         out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return out
 
@@ -188,3 +189,17 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     return map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, decoded binary", SLICE)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What decode() gives for encode(): (doc_id, n_tokens, ids, decoded), in one pass over the texts."""
+    spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = _codec(spec.value)
+        ids = [codec.encode(t.as_py()) for t in batch.column(1)]
+        decoded = [codec.decode(x) for x in ids]
+        columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return map_arrow(documents(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids binary, decoded binary", SLICE)

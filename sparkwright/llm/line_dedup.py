@@ -30,6 +30,8 @@ from sparkwright.llm.near_dup import forest_of_pairs
 EDITS, LEAST_CHARS = 2, 20
 #: Lines of a block; pairs that are verified together; code points of their padded matrix.
 BLOCK, PAIRS, CELLS = 512, 8192, 4_000_000
+#: Rows of text whose keys are in memory together.
+SLICE = 500
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -161,16 +163,18 @@ def line_rows(docs: DataFrame, edits: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(edits)
         for batch in batches:
-            found, refs = [], []
-            lines = {line for text in batch.column(0) for line in text.as_py().split("\n") if len(line) >= least}
-            for line in lines:
-                ref = line_hash(line) * 2
-                for key, own in keys.hashes(line):
-                    found.append(key)
-                    refs.append(ref + own)
-            for at in range(0, len(found), 100_000):
-                key = np.array(found[at : at + 100_000], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(refs[at : at + 100_000], np.uint64).view(np.int64))], ["key", "ref"])
+            seen: set[int] = set()  # lines of the batch, by hash
+            for at in range(0, batch.num_rows, SLICE):
+                found, refs = [], []
+                for line in {line for text in batch.column(0).slice(at, SLICE) for line in text.as_py().split("\n") if len(line) >= least}:
+                    ref = line_hash(line) * 2
+                    if ref not in seen:
+                        seen.add(ref)
+                        for key, own in keys.hashes(line):
+                            found.append(key)
+                            refs.append(ref + own)
+                as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([as_long(found), as_long(refs)], ["key", "ref"])
 
     return map_batches(docs.select("text"), run, "key long, ref long")
 

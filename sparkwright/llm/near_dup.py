@@ -39,7 +39,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 384, 1_000_000
 
 _words = re.compile(WORD).findall
 _MULTIPLIERS = np.random.default_rng(20_240_917).integers(1, 2**63, 2 * ROWS * SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 150_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

@@ -25,6 +25,8 @@ from sparkwright.llm.common import WORD, documents, map_arrow
 SAMPLE = 20_000
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 THRESHOLD = 0.5
+#: Rows of text that are judged before their results go on.
+SLICE = 1_000
 
 SYMBOLS = "#*$%&|<>"
 
@@ -209,7 +211,7 @@ def assess(docs: DataFrame, trees: Trees | None, *, id_col: str = "doc_id", text
         out = judge(batch.column(1), trees)
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k]) for k in kinds)], ["doc_id", *kinds])
 
-    return map_arrow(documents(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    return map_arrow(documents(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()), SLICE)
 
 
 def keep(docs: DataFrame, trees: Trees | None, *, text_col: str = "text") -> DataFrame:
@@ -219,4 +221,4 @@ def keep(docs: DataFrame, trees: Trees | None, *, text_col: str = "text") -> Dat
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(judge(batch.column(at), trees)["kept"]))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(docs, run, docs.schema, SLICE)

@@ -81,8 +81,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(load(spark, sf_dir, "documents"), path, pattern)
-    return byte_bpe.decode(encoded, path, pattern).select(
+    return byte_bpe.round_trip(load(spark, sf_dir, "documents"), path, pattern).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
