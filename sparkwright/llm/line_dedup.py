@@ -9,7 +9,8 @@ distance over many pairs at once decides. A key of very many lines is cut into p
 only a spanning forest of a cell's links and each line's number of links leave it.
 
 Linked lines and equal lines are a class. Of each class the first line stays, by doc_id, then row, then place; the
-others go. Shorter lines always stay. Distinct lines go by 63-bit hashes. Null and empty texts have one empty line.
+others go. Shorter lines have no links; those of at least `equal` code points go by equality alone, which is off unless
+asked for, and the rest always stay, as empty lines do. Distinct lines go by 63-bit hashes. Null and empty texts have one empty line.
 Rows of equal doc_id are told apart by their texts; rows without doc_id come after all others.
 """
 
@@ -283,10 +284,10 @@ def line_classes(docs: DataFrame, tables: Tables, edits: int, least: int) -> tup
     return components(found.where("b is not null").select("a", "b"), tables, "classes"), counts
 
 
-def removed_lines(docs: DataFrame, tables: Tables, edits: int, least: int) -> DataFrame:
+def removed_lines(docs: DataFrame, tables: Tables, edits: int, least: int, equal: int) -> DataFrame:
     """(doc_id, uid, places, n_links): the lines that go, and the links of all lines, of documents that have either."""
     classes, counts = line_classes(docs, tables, edits, least)
-    seen = tables.write(occurrences(docs, least), "lines")
+    seen = tables.write(occurrences(docs, equal), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "place")
     per_line = seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     per_line = per_line.join(classes.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("component", "line"))
@@ -296,17 +297,19 @@ def removed_lines(docs: DataFrame, tables: Tables, edits: int, least: int) -> Da
     return hits.groupBy("doc_id", "uid").agg(F.collect_list("place").alias("places"), F.sum("n_links").alias("n_links"))
 
 
-def dedup(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST_CHARS, equal: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with _kept, _n_lines, _n_removed and _n_links, which replace any of docs.
 
-    _kept is the text without the lines that go; null stays null.
+    _kept is the text without the lines that go; null stays null. Lines of at least equal (1 or more) and fewer than
+    least code points lose their exact repeats; with None they all stay.
     """
     tables = Tables(docs.sparkSession, "lines")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), text(F.col(text_col)).alias("_text"))
     rows = rows.withColumn("_uid", F.xxhash64("_id", "_text"))
     plain = rows.select(F.col("_id").alias("doc_id"), F.col("_uid").alias("uid"), F.col("_text").alias("text"))
-    gone = tables.write(removed_lines(plain, tables, edits, least), "removed")
+    from_chars = least if equal is None else max(1, min(equal, least))
+    gone = tables.write(removed_lines(plain, tables, edits, least, from_chars), "removed")
     tables.keep_only("removed")
     gone = gone.select(F.coalesce("doc_id", F.lit(-1)).alias("_join"), F.col("uid").alias("_uid"), F.col("places").alias("_places"), F.col("n_links").alias("_links"))
     joined = rows.select("_row", "_uid", F.coalesce("_id", F.lit(-1)).alias("_join")).join(gone, ["_join", "_uid"], "left")

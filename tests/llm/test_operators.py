@@ -86,6 +86,16 @@ def test_lines_against_brute_force(spark, monkeypatch):
     assert sum(n for _, n in expected.values()) > 100
 
 
+def test_short_lines_by_equality(spark):
+    """Short lines lose their exact repeats and nothing else; empty lines stay."""
+    docs = [(1, "Read more\n\nRead mores\nRead more"), (2, "全著作権所有。\n\nRead more"), (3, "全著作権所有。\nRead mor"), (4, "a line that is long enough\nx"), (5, "x\na line that is long enoughs")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r["_kept"], r["_n_removed"], r["_n_links"]) for r in line_dedup.dedup(df, equal=1).collect()}
+    assert got == {1: ("Read more\n\nRead mores", 1, 0), 2: ("全著作権所有。\n", 1, 0), 3: ("Read mor", 1, 0), 4: ("a line that is long enough\nx", 0, 1), 5: ("", 2, 1)}
+    got = {r.doc_id: r["_n_removed"] for r in line_dedup.dedup(df, equal=8).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
 # licenses
 
 
