@@ -205,6 +205,13 @@ def test_pii_adds_consistently(spark, docs):
     assert added[1] == [] and all(k in pii.KINDS for k, _, _ in added[0])
 
 
+def test_features_of_whole_tokens():
+    """What a long token has after any number of letters counts as what it has at once."""
+    on = lambda t: {n for n, x in zip(pii.FEATURES, pii.features(t, [(0, len(t))])[0], strict=True) if x}
+    assert on("字" * 500 + "x@y.z:/(12345)") == on("字x@y.z:/(12345)") >= {"at", "domain", "colon", "slash", "paren", "digits_5_6"}
+    assert "digits_more" in on("字" * 300 + "1" * 20)
+
+
 # passages
 
 
