@@ -7,7 +7,7 @@ each with its next occurrence. Loopy message passing over the whole batch's grap
 probabilities, and runs of tokens of one kind at CONFIDENT or more become spans where no fixed pattern has one.
 
 Weights are fitted by pseudo-likelihood on the driver to the fixed patterns' spans in about SAMPLE documents,
-chosen by a hash of doc_id. Null and empty texts have no spans. Patterns run in time linear in the text.
+chosen by a hash of doc_id; tokens that repeat a found entity without being found are left out. Null and empty texts have no spans. Patterns run in time linear in the text.
 """
 
 from __future__ import annotations
@@ -152,16 +152,42 @@ def edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 1]
     last: dict[str, int] = {}
     skip = []
-    for i, (a, b) in enumerate(spans):
-        t = text[a:b]
-        key = t.lower() if "@" in t else "".join(_digits.findall(t))
-        if "@" in t or len(key) >= 4:
+    for i, key in enumerate(keys(text, spans)):
+        if "@" in key or len(key) >= 4:
             if key in last:
                 skip.append((last[key], i))
             last[key] = i
     return chain, skip
 
 
+def keys(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """What tokens that are alike share: letters of addresses, digits of others."""
+    return [t.lower() if "@" in (t := text[a:b]) else "".join(_digits.findall(t)) for a, b in spans]
+
+
+def unknown(text: str, spans: list[tuple[int, int]], label: np.ndarray) -> np.ndarray:
+    """Which tokens without a label repeat one that has a label, or stand beside such a repeat as in the original.
+
+    The fixed patterns say nothing about these: they may be the same entity without its sign.
+    """
+    key, out = keys(text, spans), np.zeros(len(spans), bool)
+    known: dict[str, int] = {}
+    for i in np.flatnonzero(label).tolist():
+        if "@" in key[i] or len(key[i]) >= 4:
+            known.setdefault(key[i], i)
+    near = [b[0] - a[1] <= 1 for a, b in zip(spans, spans[1:], strict=False)]
+    for i in np.flatnonzero(label == 0).tolist():
+        if (j := known.get(key[i])) is None:
+            continue
+        out[i] = True
+        for step in (-1, 1):
+            p, q = i + step, j + step
+            while 0 <= p < len(spans) and 0 <= q < len(spans) and not out[p] and not label[p] and label[q] == label[j] and key[p] == key[q] and near[min(p, p - step)] and near[min(q, q - step)]:
+                out[p] = True
+                p, q = p + step, q + step
+    return out
+
+
 @dataclass
 class Field:
     """Weights: of features by label, of chain edges by both labels, of skip edges' agreement by label."""
@@ -202,8 +228,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], *, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> Field | None:
-    """Weights by pseudo-likelihood: each node's label given its neighbours' labels from the fixed patterns."""
-    xs, ys, chains, skips, at = [], [], [], [], 0
+    """Weights by pseudo-likelihood: each node's label given its neighbours' labels from the fixed patterns.
+
+    Unlabelled nodes are neither fitted nor anyone's evidence.
+    """
+    xs, ys, free, chains, skips, at = [], [], [], [], [], 0
     for text in texts:
         spans = tokens(text)
         if not spans:
@@ -216,13 +245,15 @@ def fit(texts: list[str], *, rounds: int = 300, rate: float = 0.1, ridge: float
         chain, skip = edges(text, spans)
         xs.append(features(text, spans))
         ys.append(label)
+        free.append(unknown(text, spans, label))
         chains += [(a + at, b + at) for a, b in chain]
         skips += [(a + at, b + at) for a, b in skip]
         at += len(spans)
     if not xs:
         return None
     x, y, labels = np.concatenate(xs), np.concatenate(ys), len(KINDS) + 1
-    hot = np.eye(labels)[y]
+    given = ~np.concatenate(free)
+    hot = np.eye(labels)[y] * given[:, None]
     left, right, alike = (np.zeros((len(y), labels)) for _ in range(3))
     for a, b in chains:
         left[b] += hot[a]
@@ -235,7 +266,7 @@ def fit(texts: list[str], *, rounds: int = 300, rate: float = 0.1, ridge: float
     for t in range(1, rounds + 1):
         node, chain_w, skip_w = params
         p = _softmax(x @ node + left @ chain_w + right @ chain_w.T + alike * skip_w)
-        d = (p - hot) / len(y)
+        d = (p - hot) * given[:, None] / max(1, given.sum())
         grads = [x.T @ d, left.T @ d + d.T @ right, (alike * d).sum(0)]
         for k, g in enumerate(grads):
             g = g + ridge * params[k] / 10

@@ -205,6 +205,18 @@ def test_pii_adds_consistently(spark, docs):
     assert added[1] == [] and all(k in pii.KINDS for k, _, _ in added[0])
 
 
+def test_pii_adds_the_repeat(spark, docs):
+    """The second of the two numbers is added, whole and alone; also where the sample has such repeats itself."""
+    t = "call +1 (741) 555-3069 now. Later (741) 555-3069 again."
+    assert pii.added_spans([t], [pii.base_spans(t)], pii.train(docs)) == [[("phone", 34, 48)]]
+    rng = random.Random(2)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    texts = [f"call +1 {(n := number())} now. Later {n} again, in {rng.randint(1900, 2030)} or {rng.randint(2, 60)} more." for _ in range(200)]
+    free = [pii.unknown(x, s := pii.tokens(x), np.array([int(a < x.find(" now.")) for a, _ in s])).tolist() for x in texts]
+    assert free == [[False, False, False, True, True, False, False]] * 200
+    assert pii.added_spans([t], [pii.base_spans(t)], pii.fit(texts)) == [[("phone", 34, 48)]]
+
+
 def test_features_of_whole_tokens():
     """What a long token has after any number of letters counts as what it has at once."""
     on = lambda t: {n for n, x in zip(pii.FEATURES, pii.features(t, [(0, len(t))])[0], strict=True) if x}
