@@ -14,7 +14,8 @@ is missed in all tables with a chance of 2 * (1 - 0.8**ROWS)**SKETCHES, 2 in 100
 5. The links' components, by the smallest doc_id, are the groups of near-duplicates.
 
 No bucket or family is capped: a large one has more cells. Documents without words have an empty set and no links.
-Rows with equal doc_id count as one document; rows without doc_id are linked with nothing and kept.
+Rows with equal doc_id are one document, whose set holds the shingles of all their texts, and have one verdict; rows
+without doc_id are linked with nothing and kept.
 """
 
 from __future__ import annotations
@@ -74,6 +75,10 @@ class Shingler:
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
         return np.unique(h)
 
+    def of(self, texts: list[str]) -> np.ndarray:
+        """The same of all texts of a document; no shingle runs from one into another."""
+        return self(texts[0]) if len(texts) == 1 else np.unique(np.concatenate([self(t) for t in texts]))
+
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """2 * SKETCHES sketches of a non-empty set, each mixed from ROWS minhashes."""
@@ -88,19 +93,31 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketches) of every document; key and sketches are null for empty sets."""
+    """(doc_id, n_shingles, set_key, sketches, copies) of every document (doc_id, texts, copies); key and sketches are null for empty sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         shingler = Shingler(width)
         counts, keys, found = [], [], []
-        for text in batch.column(1):
-            s = shingler(text.as_py())
+        for texts in batch.column(1):
+            s = shingler.of(texts.as_py())
             counts.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             found.append(sketch(s).view(np.int64) if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sketches"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n_shingles", "set_key", "sketches", "copies"])
+
+    return map_arrow(docs, run, "doc_id long, n_shingles long, set_key binary, sketches array<long>, copies long")
+
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, set_key binary, sketches array<long>")
+def whole(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, texts, copies): rows of one doc_id and different texts together, with their number; all others as they are."""
+    alone = docs.select("doc_id", F.array("text").alias("texts"), F.lit(1).cast("long").alias("copies"))
+    h = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("doc_id")
+    several = tables.write(several, "several-texts")
+    if several.isEmpty():
+        return alone
+    together = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("texts"), F.count("*").alias("copies"))
+    return alone.join(several, "doc_id", "left_anti").union(together)
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -181,10 +198,10 @@ def links(families: DataFrame, docs: DataFrame, width: int, percent: int, n_part
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         shingler = Shingler(width)
-        sets = [shingler(t.as_py()).tobytes() for t in batch.column(4)]
+        sets = [shingler.of(t.as_py()).tobytes() for t in batch.column(4)]
         return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], [*batch.schema.names[:4], "set"])
 
-    sets = map_arrow(texts.select("doc_id", "family", "block", "blocks", "text"), run, "doc_id long, family long, block int, blocks int, set binary")
+    sets = map_arrow(texts.select("doc_id", "family", "block", "blocks", "texts"), run, "doc_id long, family long, block int, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = sets.withColumn("other", other).select("doc_id", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set")
 
@@ -214,11 +231,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """
     spark = docs.sparkSession
     tables = Tables(spark, "near-dup")
-    docs = documents(docs, id_col, text_col)
+    docs = whole(documents(docs, id_col, text_col), tables)
     all_docs = tables.write(sketches(docs, width), "sketches")
     named = all_docs.where("doc_id is not null and set_key is not null")
     first = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = tables.write(named.join(apart(first), "set_key").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketches")).alias("sketches")), "members")
+    members = tables.write(named.join(apart(first), "set_key").select("doc_id", "n_shingles", "rep", "copies", F.when(F.col("doc_id") == F.col("rep"), F.col("sketches")).alias("sketches")), "members")
     reps = members.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketches")
 
     soft = components(candidates(reps.select("doc_id", "sketches")), tables, "families")
@@ -226,7 +243,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     found = components(links(tables.write(families, "families"), docs.where("doc_id is not null"), width, percent, partitions(spark)), tables, "links")
 
     comp = tables.write(found.select(F.col("node").alias("rep"), "component"), "components")
-    tables.keep_only("sketches", "members", "components")
-    linked = members.select("doc_id", "n_shingles", "rep").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = all_docs.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    tables.keep_only("sketches", "members", "components", "several-texts")
+    linked = members.select("doc_id", "n_shingles", "rep", "copies").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "copies")
+    alone = all_docs.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "copies")
+    rows = linked.union(alone).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -154,6 +154,21 @@ def test_near_dup_blocks(spark, monkeypatch):
     assert 1 < len(set(name)) < 40
 
 
+def test_near_dup_rows_of_one_id(spark):
+    """Rows of one doc_id are one document with the shingles of all its texts, as in the SQL."""
+    import duckdb
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(1, a), (2, a + " end"), (2, b), (2, b), (3, b + " end"), (4, b + " more"), (5, c), (5, ""), (6, c + " end"), (7, a), (7, b), (8, b), (8, a), (9, "")]
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    expected = sorted(con.sql(ORACLES["op4_near_dup"]).fetchall())
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == expected
+    assert {r[0]: r[2] for r in expected} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5, 7: 2, 8: 2, 9: 9}
+
+
 # personal data
 
 #: The contract's patterns, as they stand.
