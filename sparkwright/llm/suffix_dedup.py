@@ -1,21 +1,26 @@
 """Removal of repeated passages by longest-previous-factor arrays.
 
-A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id. In the
-suffix order of all texts, taken to LENGTH bytes with ties in the order of doc_id, the previous factor of a suffix
-is that long exactly if its neighbour before it, the previous smaller position, agrees with it so far; so the first
-copy stays and later ones go. The suffix order is built piece by piece, such that equal strings meet:
+A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id. The longest
+previous factor of a suffix, here, is the longest string that it begins with and that starts in such a document too;
+in the suffix order it is what the suffix shares with the nearest one of smaller doc_id before it or after it (the
+previous and the next smaller position), whichever is longer. A suffix whose factor has LENGTH bytes loses them, so the
+first copy stays and later ones go. Orders and factors are taken to LENGTH bytes. The suffix order is built piece by
+piece, such that equal strings meet:
 
 1. Of the ANCHOR-byte strings in every window of LENGTH bytes, the one of the smallest hash is the window's anchor;
-   equal windows have equal anchors. Anchors of each batch, once each, meet in buckets; those of two documents or
-   more are reported to their documents.
+   equal windows have equal anchors. Anchors of each batch meet in buckets; those of two documents or more are reported
+   to their documents, packed for groups of documents of about GROUP bytes of text.
 2. Documents with such anchors send the stretch of text whose windows have the anchor to a bucket by the anchor.
    Stretches that are equal within a batch are sent once, for the smallest doc_id, and settled at once for others.
    An anchor of very many documents is hot: its windows go to buckets by their own content instead, one by one. The
    hot anchors are at most HOT_ANCHORS in number, for the threshold grows with the number of all anchors.
-3. Each bucket orders its suffixes, word by word, and reports the covered stretches, which are removed.
+3. Each bucket orders its suffixes and takes their factors. Suffixes whose string of LENGTH bytes is alone in the
+   bucket, by a hash of it, cannot have such a factor and need no order. The covered stretches are reported to the
+   groups of documents and removed.
 
-Null and empty texts have no bytes. Rows of equal doc_id are told apart by their texts and do not remove each
-other's bytes; rows without doc_id keep theirs and remove none.
+Null and empty texts have no bytes, an empty table no rows. Rows of equal doc_id are told apart by their texts and do
+not remove each other's bytes; repeated rows lose the same. Rows without doc_id keep their bytes and remove none. The
+result has columns of its own only, so that other columns of the table may have any names.
 """
 
 from __future__ import annotations
@@ -28,60 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import Tables, documents, map_arrow, map_batches, map_groups, partitions
+from sparkwright.llm.common import Tables, documents, map_batches, map_groups, partitions
 
 LENGTH, ANCHOR = 50, 20
-#: Window starts that are looked at together; bytes of text for each bucket of anchors and of stretches.
-PIECE, ANCHOR_BUCKET, STRETCH_BUCKET = 1 << 19, 8_000_000, 2_000_000
+#: Window starts that are looked at together; bytes of text for each bucket of anchors, of stretches and each group of documents.
+PIECE, ANCHOR_BUCKET, STRETCH_BUCKET, GROUP = 1 << 19, 16_000_000, 2_000_000, 4_000_000
 HOT_ANCHORS, LEAST_HOT = 100_000, 4_000
 
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def suffix_array(text: bytes) -> np.ndarray:
-    """The positions of a text in suffix order, by prefix doubling."""
-    n = len(text)
-    rank = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-    order, step = np.argsort(rank, kind="stable"), 1
-    while step < n:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:]
-        key = rank * (n + 257) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], (np.diff(key[order]) > 0).astype(np.int64)]))
-        if rank[order[-1]] == n:
-            break
-        step *= 2
-    return order
-
-
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """For each position the length of the longest string that starts there and at an earlier position.
-
-    The candidates are the previous and the next smaller position in suffix order.
-    """
-    n, order = len(text), suffix_array(text).tolist()
-    before, after, stack = [-1] * n, [-1] * n, []
-    for p in order:
-        while stack and stack[-1] > p:
-            after[stack.pop()] = p
-        before[p] = stack[-1] if stack else -1
-        stack.append(p)
-
-    out = np.zeros(n, np.int64)
-    for p in range(n):
-        for q in (before[p], after[p]):
-            if q >= 0:
-                k = int(out[p])
-                if text[q : q + k] != text[p : p + k]:
-                    continue
-                while p + k < n and text[q + k] == text[p + k]:
-                    k += 1
-                out[p] = max(out[p], k)
-    return out
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, document, first window, last window) of each stretch of windows with one anchor.
 
@@ -137,14 +98,11 @@ def _keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return (((h >> np.uint64(40)) % np.uint64(n_buckets)) << np.uint64(40)) | (h & _LOW)
 
 
-_ANCHOR_ROWS = "bucket long, doc_id long, uid long, low binary, high binary, docs binary, ids binary, uids binary"
+_ANCHOR_ROWS = "bucket long, low binary, high binary, groups binary, times binary"
 
 
-def anchor_rows(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Packed anchors of docs (doc_id, uid, text): rows of a bucket, and of a document what its batch alone tells.
-
-    docs in a packed row: 0 and up the document's place in ids and uids, below 0 how many of the batch have it.
-    """
+def anchor_rows(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
+    """Packed anchors of docs (doc_id, uid, text): for each bucket the keys, the groups that have them and how many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,142 +110,170 @@ def anchor_rows(docs: DataFrame, n_buckets: int) -> DataFrame:
             h, doc, _, _ = anchors(data, offsets)
             if not len(h):
                 continue
-            ids, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            group = np.mod(batch.column(1).to_numpy(), n_groups)
             key = _keys(h, n_buckets)
-            order = np.lexsort((doc, key))
+            order = np.lexsort((doc, group[doc], key))
             key, doc = key[order], doc[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-            key, doc = key[new], doc[new]
-            bounds = _runs(key)
-            times = np.diff(bounds)
-            which = np.where(times == 1, doc[bounds[:-1]], -times).astype(np.int64)
-            alone = key[bounds[:-1]]
-            edges = _runs(alone >> np.uint64(40))
-            rows: list[tuple] = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                d, k = which[a:b], alone[a:b]
-                used, place = np.unique(d[d >= 0], return_inverse=True)
-                packed = d.astype(np.int32)
-                packed[d >= 0] = place
-                low = k & np.uint64(0xFFFFFFFF)
-                rows.append((int(k[0] >> np.uint64(40)), None, None, low.astype(np.uint32).tobytes(), ((k >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), packed.tobytes(), ids[used].tobytes(), uids[used].tobytes()))
-            many = np.repeat(times > 1, times)
-            order = np.argsort(doc[many], kind="stable")
-            d, k = doc[many][order], key[many][order]
-            edges = _runs(d) if len(d) else np.zeros(1, np.int64)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                rows.append((-1 - int(d[a]) % n_buckets, int(ids[d[a]]), int(uids[d[a]]), k[a:b].tobytes(), None, None, None, None))
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 5
-            names = [x.split()[0] for x in _ANCHOR_ROWS.split(", ")]
-            for at in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096], strict=True), kinds, strict=True)], names)
+            key, group = key[new], group[doc[new]]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
+            times = np.minimum(np.diff(np.append(first, len(key))), 65535).astype(np.uint16)
+            key, group = key[first], group[first].astype(np.uint32)
+            edges = _runs(key >> np.uint64(40))
+            low, high = key.astype(np.uint32), ((key >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
+            cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]  # noqa: E731, B023
+            buckets = (key[edges[:-1]] >> np.uint64(40)).astype(np.int64)
+            columns = [pa.array(buckets), *(pa.array(cut(x), pa.binary()) for x in (low, high, group, times))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ANCHOR_ROWS.split(", ")])
 
     return map_batches(docs, run, _ANCHOR_ROWS)
 
 
+#: What groups of documents are told: four packed columns, and a number.
+_REPLIES = "group long, part long, a binary, b binary, c binary, d binary"
+
+
+def _replies(groups: np.ndarray, part: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each run of a group's entries in sorted groups."""
+    edges = _runs(groups) if len(groups) else np.zeros(1, np.int64)
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+    n = len(edges) - 1
+    packed = [cut(x) for x in columns] + [pa.nulls(n, pa.binary())] * (4 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(groups[edges[:-1]].astype(np.int64)), pa.array([part] * n, pa.int64()), *packed], ["group", "part", *"abcd"])
+
+
 def repeated_anchors(rows: DataFrame, hot_at: int, n_parts: int) -> DataFrame:
-    """(doc_id, uid, keys, hot): keys of anchors that several documents have, and rows without doc_id of hot keys."""
+    """_REPLIES of the keys of a bucket (part) that several documents have, and rows of group -1 of hot ones."""
 
     def meet(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket = key[0]
-        names = ["doc_id", "uid", "keys"]
-        if bucket < 0:
-            yield from table.select(["doc_id", "uid", "low"]).rename_columns(names).to_batches()
-            return
-        unpack = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
+        unpack = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in table[name]), kind)
         k = (unpack("high", np.uint8).astype(np.uint64) << np.uint64(32)) | unpack("low", np.uint32)
-        d, ids, uids = unpack("docs", np.int32).astype(np.int64), unpack("ids", np.int64), unpack("uids", np.int64)
-        per_row = np.array([len(x.as_py()) // 4 for x in table["docs"]])
-        base = np.concatenate([[0], np.cumsum([len(x.as_py()) // 8 for x in table["ids"]])[:-1]])
-        owner = np.where(d >= 0, d + np.repeat(base, per_row), -1)
-        weight = np.where(d >= 0, 1, -d)
+        group, times = unpack("groups", np.uint32), unpack("times", np.uint16)
         order = np.argsort(k, kind="stable")
-        k, owner, weight = k[order], owner[order], weight[order]
+        k, group, times = k[order], group[order], times[order]
         bounds = _runs(k)
-        total = np.add.reduceat(weight, bounds[:-1])
-        full = k | (np.uint64(bucket) << np.uint64(40))
-        tell = np.repeat(total > 1, np.diff(bounds)) & (owner >= 0)
-        owner, told = owner[tell], full[tell]
-        order = np.argsort(owner, kind="stable")
-        owner, told = owner[order], told[order]
-        edges = _runs(owner) if len(owner) else np.zeros(1, np.int64)
-        found = [told[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        who = owner[edges[:-1]] if len(owner) else owner
-        hot = full[bounds[:-1]][total >= hot_at]
-        yield pa.RecordBatch.from_arrays([pa.array([*ids[who].tolist(), *[None] * bool(len(hot))], pa.int64()), pa.array([*uids[who].tolist(), *[None] * bool(len(hot))], pa.int64()), pa.array([*found, *[hot.tobytes()] * bool(len(hot))], pa.binary())], names)
+        total = np.add.reduceat(times.astype(np.int64), bounds[:-1])
+        hot = k[bounds[:-1]][total >= hot_at]
+        tell = np.repeat(total > 1, np.diff(bounds))
+        k, group = k[tell], group[tell]
+        order = np.lexsort((k, group))
+        k, group = k[order], group[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (group[1:] != group[:-1])])[: len(k)]
+        pack = lambda x: (x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8))
+        yield _replies(group[new], key[0], *pack(k[new]))
+        if len(hot):
+            yield _replies(np.full(len(hot), -1), key[0], *pack(hot))
 
-    return map_groups(rows, ["bucket"], meet, "doc_id long, uid long, keys binary", n_parts)
+    return map_groups(rows, ["bucket"], meet, _REPLIES, n_parts)
 
 
-_STRETCH_ROWS = "bucket long, doc_id long, uid long, starts binary, ends binary, bytes binary, lengths binary, ids binary, uids binary"
+def _told_keys(rows: list[tuple]) -> np.ndarray:
+    """The sorted keys of replies (part, a, b)."""
+    if not rows:
+        return np.empty(0, np.uint64)
+    unpacked = [(np.uint64(part) << np.uint64(40)) | (np.frombuffer(b, np.uint8).astype(np.uint64) << np.uint64(32)) | np.frombuffer(a, np.uint32) for part, a, b in rows]
+    return np.unique(np.concatenate(unpacked))
 
 
-def stretch_rows(docs: DataFrame, hot_keys: np.ndarray, n_anchor_buckets: int, n_buckets: int) -> DataFrame:
-    """Packed stretches of docs (doc_id, uid, text, keys) around repeated anchors, and what a batch settles alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot_keys))  # HOT_ANCHORS at most
+def answered(docs: DataFrame, replies: DataFrame, prepare, work, schema: str, n_parts: int) -> DataFrame:
+    """work(prepare(replies of the group), documents) of documents (doc_id, uid, text) that share a group, batch by batch.
+
+    replies are _REPLIES; prepare gets (part, a, b, c, d) of each. A group's replies come before its documents, which pass in a stream.
+    """
+    none = F.lit(None)
+    told = replies.select("group", "part", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("long").alias("uid"), none.cast("string").alias("text"), *"abcd")
+    asked = docs.select("group", none.cast("long").alias("part"), F.lit(1).alias("kind"), "doc_id", "uid", "text", *(none.cast("binary").alias(c) for c in "abcd"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        now, held, ready = None, [], None
         for batch in batches:
-            data, offsets = _text_bytes(batch.column(2))
-            h, doc, a, b = anchors(data, offsets)
-            if not len(h):
+            group, kind = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            if not len(group):
                 continue
-            ids, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            blobs = [x for row in batch.column(3).to_pylist() for x in row or ()]
-            known = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
-            key = _keys(h, n_anchor_buckets)
-            keep = _isin(key, known)
-            key, doc, a, b = key[keep], doc[keep], a[keep], b[keep]
-            warm = _isin(key, hot)
-            if warm.any():  # one stretch for each window
-                times = np.where(warm, b - a + 1, 1)
-                at = np.repeat(np.arange(len(key)), times)
-                inner = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                begin = a[at] + inner
-                stop = np.where(warm[at], begin, b[at])
-                key, doc, a, b, warm = key[at], doc[at], begin, stop, warm[at]
-            raw = memoryview(data)
-            seen: dict[bytes, list[int]] = {}
-            for i, (x, y) in enumerate(zip(a.tolist(), (b + LENGTH).tolist(), strict=True)):
-                seen.setdefault(bytes(raw[x:y]), []).append(i)
-            start = offsets[doc]
-            whose = ids[doc]
-            sent: list[int] = []
-            settled: list[int] = []
-            for places in seen.values():
-                if len(places) == 1:
-                    sent += places
-                else:
-                    least = whose[places].min()
-                    for i in places:
-                        (sent if whose[i] == least else settled).append(i)
-            rows = []
-            if settled:
-                s = np.array(settled)
-                s = s[np.argsort(doc[s], kind="stable")]
-                edges = _runs(doc[s])
-                for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    part = s[x:y]
-                    d = int(doc[part[0]])
-                    rows.append((-1 - d % n_buckets, int(ids[d]), int(uids[d]), (a[part] - start[part]).astype(np.int32).tobytes(), (b[part] + LENGTH - start[part]).astype(np.int32).tobytes(), None, None, None, None))
-            s = np.array(sent)
-            bucket = ((key[s] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(n_buckets)
-            for i in np.flatnonzero(warm[s]).tolist():
-                bucket[i] = zlib.crc32(raw[a[s[i]] : a[s[i]] + LENGTH]) % n_buckets
-            order = np.argsort(bucket, kind="stable")
-            s, bucket = s[order], bucket[order]
-            edges = _runs(bucket)
+            edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (kind[1:] != kind[:-1]), [True]]))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if group[x] != now:
+                    now, held, ready = group[x], [], None
+                part = batch.slice(x, y - x)
+                if kind[x] == 0:
+                    held += zip(*(part.column(k).to_pylist() for k in (1, 6, 7, 8, 9)), strict=True)
+                    continue
+                if ready is None:
+                    ready, held = prepare(held), []
+                yield from work(ready, part.select(["doc_id", "uid", "text"]))
+
+    dealt = told.union(asked).repartition(n_parts, "group").sortWithinPartitions("group", "kind")
+    return map_batches(dealt, run, schema)
+
+
+_STRETCH_ROWS = "bucket long, starts binary, ends binary, bytes binary, lengths binary, ids binary, uids binary"
+
+
+def stretch_rows(docs: DataFrame, replies: DataFrame, hot_keys: np.ndarray, n_anchor_buckets: int, n_buckets: int, n_groups: int, n_parts: int) -> DataFrame:
+    """Packed stretches of docs around repeated anchors, and, in buckets below 0, what a batch settles alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot_keys))  # HOT_ANCHORS at most
+
+    def stretches(known: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not len(known):
+            return
+        hot = shared.value
+        data, offsets = _text_bytes(batch.column(2))
+        h, doc, a, b = anchors(data, offsets)
+        ids, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key = _keys(h, n_anchor_buckets)
+        keep = _isin(key, known)
+        if not keep.any():
+            return
+        key, doc, a, b = key[keep], doc[keep], a[keep], b[keep]
+        warm = _isin(key, hot)
+        if warm.any():  # one stretch for each window
+            times = np.where(warm, b - a + 1, 1)
+            at = np.repeat(np.arange(len(key)), times)
+            inner = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            begin = a[at] + inner
+            stop = np.where(warm[at], begin, b[at])
+            key, doc, a, b, warm = key[at], doc[at], begin, stop, warm[at]
+        raw = memoryview(data)
+        seen: dict[bytes, list[int]] = {}
+        for i, (x, y) in enumerate(zip(a.tolist(), (b + LENGTH).tolist(), strict=True)):
+            seen.setdefault(bytes(raw[x:y]), []).append(i)
+        start = offsets[doc]
+        whose = ids[doc]
+        sent: list[int] = []
+        settled: list[int] = []
+        for places in seen.values():
+            if len(places) == 1:
+                sent += places
+            else:
+                least = whose[places].min()
+                for i in places:
+                    (sent if whose[i] == least else settled).append(i)
+        rows = []
+        if settled:
+            s = np.array(settled)
+            group = np.mod(uids[doc[s]], n_groups)
+            by = np.argsort(group, kind="stable")
+            s, edges = s[by], _runs(group[by])
             for x, y in zip(edges[:-1], edges[1:], strict=True):
                 part = s[x:y]
-                content = b"".join([raw[i:j] for i, j in zip(a[part].tolist(), (b[part] + LENGTH).tolist(), strict=True)])
-                rows.append((int(bucket[x]), None, None, (a[part] - start[part]).astype(np.int32).tobytes(), None, content, (b[part] + LENGTH - a[part]).astype(np.int32).tobytes(), whose[part].tobytes(), uids[doc[part]].tobytes()))
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 6
-            names = [x.split()[0] for x in _STRETCH_ROWS.split(", ")]
-            for at in range(0, len(rows), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1024], strict=True), kinds, strict=True)], names)
-
-    return map_batches(docs, run, _STRETCH_ROWS)
+                rows.append((-1 - int(group[by[x]]), (a[part] - start[part]).astype(np.int32).tobytes(), (b[part] + LENGTH - start[part]).astype(np.int32).tobytes(), None, None, whose[part].tobytes(), uids[doc[part]].tobytes()))
+        s = np.array(sent)
+        bucket = ((key[s] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(n_buckets)
+        for i in np.flatnonzero(warm[s]).tolist():
+            bucket[i] = zlib.crc32(raw[a[s[i]] : a[s[i]] + LENGTH]) % n_buckets
+        order = np.argsort(bucket, kind="stable")
+        s, bucket = s[order], bucket[order]
+        edges = _runs(bucket)
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            part = s[x:y]
+            content = b"".join([raw[i:j] for i, j in zip(a[part].tolist(), (b[part] + LENGTH).tolist(), strict=True)])
+            rows.append((int(bucket[x]), (a[part] - start[part]).astype(np.int32).tobytes(), None, content, (b[part] + LENGTH - a[part]).astype(np.int32).tobytes(), whose[part].tobytes(), uids[doc[part]].tobytes()))
+        kinds = [pa.int64()] + [pa.binary()] * 6
+        names = [x.split()[0] for x in _STRETCH_ROWS.split(", ")]
+        for at in range(0, len(rows), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1024], strict=True), kinds, strict=True)], names)
+
+    return answered(docs, replies, lambda rows: _told_keys([r[:3] for r in rows]), stretches, _STRETCH_ROWS, n_parts)
 
 
 def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -297,123 +283,163 @@ def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def later_copies(data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the string of LENGTH bytes at each start also starts in a document of a smaller id.
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller value, or -1: up and down a tree of block minima."""
+    n = len(values)
+    levels = [values]
+    while len(levels[-1]) > 1:
+        v = levels[-1]
+        v = np.append(v, v[-1]) if len(v) % 2 else v
+        levels.append(np.minimum(v[::2], v[1::2]))
+    out = np.full(n, -1, np.int64)
+    open_, at = np.arange(n), np.arange(n)
+    for k, v in enumerate(levels):
+        hit = (at % 2 == 1) & (v[np.maximum(at - 1, 0)] < values[open_])
+        who, node = open_[hit], at[hit] - 1
+        for lower in reversed(levels[:k]):
+            right = np.minimum(2 * node + 1, len(lower) - 1)
+            node = np.where(lower[right] < values[who], right, 2 * node)
+        out[who] = node
+        open_, at = open_[~hit], at[~hit] // 2
+        if not len(open_):
+            break
+    return out
+
+
+_OFFSETS = (*range(0, LENGTH - 7, 8), LENGTH - 8)
+
+
+def agreement(words: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many bytes the strings at p and q share from their start, LENGTH at most; words are big-endian, one at each byte."""
+    out = np.full(len(p), LENGTH, np.int64)
+    for at in reversed(_OFFSETS):
+        differs = words[p + at] ^ words[q + at]
+        some = np.flatnonzero(differs)
+        d = differs[some].astype(np.uint64)
+        out[some] = at + sum((d < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+    return out
 
-    In the order of suffixes, ties by id, that is so if the suffix before it of a smaller id agrees to LENGTH bytes.
-    Suffixes whose string is alone, by a hash of it, need no order; the others are ordered by words of eight bytes.
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each start the length, to LENGTH, of its longest string that starts in a document of a smaller id too.
+
+    Strings that are alone among the starts, by a hash of their LENGTH bytes, have 0.
     """
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
-    offsets = [*range(0, LENGTH - 7, 8), LENGTH - 8]
     h = np.zeros(len(starts), np.uint64)
-    for at in offsets:
+    for at in _OFFSETS:
         h = (h ^ (h >> np.uint64(31)) ^ words[starts + at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    out = np.zeros(len(starts), bool)
+    out = np.zeros(len(starts), np.int64)
     by_hash = np.argsort(h)
     same = h[by_hash][1:] == h[by_hash][:-1]
     shared = by_hash[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
     if not len(shared):
         return out
-    keys = [words[starts[shared] + at].astype(np.uint64) for at in offsets]
-    order = np.lexsort((ids[shared], *reversed(keys)))
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
-    bounds = np.append(np.flatnonzero(new), len(order))
-    ordered = ids[shared][order]
-    out[shared[order]] = ordered > np.repeat(ordered[bounds[:-1]], np.diff(bounds))
+    order = suffix_order(words, starts[shared], ids[shared])
+    place, doc = starts[shared][order], ids[shared][order]
+    factor = np.zeros(len(order), np.int64)
+    for neighbour in (smaller_before(doc), len(doc) - 1 - smaller_before(doc[::-1])[::-1]):
+        has = np.flatnonzero((neighbour >= 0) & (neighbour < len(doc)))
+        factor[has] = np.maximum(factor[has], agreement(words, place[has], place[neighbour[has]]))
+    out[shared[order]] = factor
     return out
 
 
-def covered(rows: DataFrame, n_parts: int) -> DataFrame:
-    """(doc_id, uid, starts, ends): stretches of bytes that go, as packed 32-bit integers."""
+def suffix_order(words: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at starts, to LENGTH bytes, ties by id."""
+    return np.lexsort((ids, *(words[starts + at].astype(np.uint64) for at in reversed(_OFFSETS))))
+
+
+def covered(rows: DataFrame, n_groups: int, n_parts: int) -> DataFrame:
+    """_REPLIES of the stretches of bytes that go: packed doc_id, uid, start and end of each."""
 
     def order(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "uid", "starts", "ends"]
-        if key[0] < 0:
-            yield from table.select(names).to_batches()
-            return
         unpack = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in table[name]), kind)
-        data, lengths = unpack("bytes", np.uint8), unpack("lengths", np.int32).astype(np.int64)
         ids, uids, at = unpack("ids", np.int64), unpack("uids", np.int64), unpack("starts", np.int32).astype(np.int64)
-        if len(lengths) < 2:
-            return
-        windows = lengths - LENGTH + 1
-        owner = np.repeat(np.arange(len(lengths)), windows)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        gone = later_copies(data, (np.cumsum(lengths) - lengths)[owner] + inner, ids[owner])
-        owner, begin = owner[gone], at[owner[gone]] + inner[gone]
-        if not len(owner):
-            return
-        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (begin[1:] != begin[:-1] + 1)])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(owner)) - 1
-        owner, begin, end = owner[first], begin[first], begin[last] + LENGTH
-        by = np.lexsort((begin, uids[owner], ids[owner]))
-        owner, begin, end = owner[by], begin[by].astype(np.int32), end[by].astype(np.int32)
-        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], (ids[owner][1:] != ids[owner][:-1]) | (uids[owner][1:] != uids[owner][:-1])])), [len(owner)]])
-        who = owner[edges[:-1]]
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(uids[who]), cut(begin), cut(end)], names)
-
-    return map_groups(rows, ["bucket"], order, "doc_id long, uid long, starts binary, ends binary", n_parts)
-
-
-def spans_to_remove(docs: DataFrame, tables: Tables) -> DataFrame:
-    """(doc_id, uid, starts, ends), one row for each document that loses bytes; starts and ends are lists of blobs.
-
-    docs has doc_id, uid and text.
-    """
+        if key[0] < 0:
+            owner, begin, end = np.arange(len(ids)), at, unpack("ends", np.int32).astype(np.int64)
+        else:
+            data, lengths = unpack("bytes", np.uint8), unpack("lengths", np.int32).astype(np.int64)
+            if len(lengths) < 2:
+                return
+            windows = lengths - LENGTH + 1
+            owner = np.repeat(np.arange(len(lengths)), windows)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            gone = longest_previous_factors(data, (np.cumsum(lengths) - lengths)[owner] + inner, ids[owner]) >= LENGTH
+            owner, begin = owner[gone], at[owner[gone]] + inner[gone]
+            if not len(owner):
+                return
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (begin[1:] != begin[:-1] + 1)]))
+            last = np.append(first[1:], len(owner)) - 1
+            owner, begin, end = owner[first], begin[first], begin[last] + LENGTH
+        group = np.mod(uids[owner], n_groups)
+        by = np.lexsort((begin, uids[owner], ids[owner], group))
+        yield _replies(group[by], 0, ids[owner][by], uids[owner][by], begin[by].astype(np.int32), end[by].astype(np.int32))
+
+    return map_groups(rows, ["bucket"], order, _REPLIES, n_parts)
+
+
+def spans_to_remove(docs: DataFrame, tables: Tables, n_groups: int) -> DataFrame:
+    """_REPLIES of packed doc_id, uid, start and end of what goes from docs (doc_id, uid, group, text)."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    docs = docs.where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_anchor, n_stretch = max(n_parts, size // ANCHOR_BUCKET), max(n_parts, size // STRETCH_BUCKET)
     hot_at = max(LEAST_HOT, size // 8 // HOT_ANCHORS)  # there are fewer than size / 8 anchors
-    found = tables.write(repeated_anchors(anchor_rows(docs, n_anchor), hot_at, n_parts), "anchors")
-    hot = [r["keys"] for r in found.where("doc_id is null").select("keys").collect()]
-    hot_keys = np.frombuffer(b"".join(hot), np.uint64)
-    replies = found.where("doc_id is not null").groupBy("doc_id", "uid").agg(F.collect_list("keys").alias("keys"))
-    with_keys = docs.join(replies, ["doc_id", "uid"]).select("doc_id", "uid", "text", "keys")
-    gone = tables.write(covered(stretch_rows(with_keys, hot_keys, n_anchor, n_stretch), n_parts), "covered")
+    found = tables.write(repeated_anchors(anchor_rows(docs.select("doc_id", "uid", "text"), n_anchor, n_groups), hot_at, n_parts), "anchors")
+    hot = found.where("group = -1").select("part", "a", "b").collect()
+    gone = tables.write(covered(stretch_rows(docs, found.where("group >= 0"), _told_keys([*map(tuple, hot)]), n_anchor, n_stretch, n_groups, n_parts), n_groups, n_parts), "covered")
     tables.keep_only("covered")
-    return gone.groupBy("doc_id", "uid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    return gone
 
 
-def merge(starts: list[bytes], ends: list[bytes]) -> list[tuple[int, int]]:
+def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """The maximal runs of the union of stretches."""
-    spans = sorted(zip(np.frombuffer(b"".join(starts), np.int32).tolist(), np.frombuffer(b"".join(ends), np.int32).tolist(), strict=True))
-    out: list[list[int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+    order = np.argsort(starts, kind="stable")
+    a, reach = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    return [*zip(a[first].tolist(), reach[np.append(first[1:], len(a)) - 1].tolist(), strict=True)]
+
+
+def _told_spans(rows: list[tuple]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends by (doc_id, uid)."""
+    if not rows:
+        return {}
+    ids, uids, starts, ends = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((1, np.int64), (2, np.int64), (3, np.int32), (4, np.int32)))
+    order = np.lexsort((uids, ids))
+    ids, uids, starts, ends = ids[order], uids[order], starts[order], ends[order]
+    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (uids[1:] != uids[:-1])])), [len(ids)]])
+    return {(int(ids[a]), int(uids[a])): (starts[a:b], ends[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)}
+
+
+_RESULT = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
+
+
+def _cut(spans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes, found, kept = [], [], []
+    for doc_id, uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        raw, at, parts = text.as_py().encode(), 0, []
+        cut = merge(*spans[doc_id, uid]) if (doc_id, uid) in spans else []
+        for a, b in cut:
+            parts.append(raw[at:a])
+            at = b
+        sizes.append(len(raw))
+        found.append([{"start": a, "end": b} for a, b in cut])
+        kept.append(b"".join([*parts, raw[at:]]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document: the removed runs of bytes, and the remaining bytes."""
-    tables = Tables(docs.sparkSession, "suffix")
+    spark = docs.sparkSession
+    tables, n_parts = Tables(spark, "suffix"), partitions(spark)
     docs = documents(docs, id_col, text_col).withColumn("uid", F.xxhash64("doc_id", "text"))
-    gone = spans_to_remove(docs.select("doc_id", "uid", "text"), tables)
-    joined = docs.join(gone, ["doc_id", "uid"], "left").select("doc_id", "text", "starts", "ends")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, spans, kept = [], [], []
-        for text, starts, ends in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-            raw = text.as_py().encode()
-            cut = merge(starts.as_py(), ends.as_py()) if starts.is_valid else []
-            at, parts = 0, []
-            for a, b in cut:
-                parts.append(raw[at:a])
-                at = b
-            sizes.append(len(raw))
-            spans.append([{"start": a, "end": b} for a, b in cut])
-            kept.append(b"".join([*parts, raw[at:]]))
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-    return map_arrow(joined, run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_groups = max(n_parts, size // GROUP)
+    named = docs.where("doc_id is not null").withColumn("group", F.pmod("uid", F.lit(n_groups)))
+    gone = spans_to_remove(named, tables, n_groups)
+    cut = answered(named, gone, _told_spans, _cut, _RESULT, n_parts)
+    nameless = docs.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.encode("text", "UTF-8").alias("kept"))
+    return cut.union(nameless)

@@ -242,13 +242,34 @@ def test_features_of_whole_tokens():
 # passages
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40))
+def test_smaller_before(values):
+    expected = [max([j for j in range(i) if values[j] < v], default=-1) for i, v in enumerate(values)]
+    assert suffix_dedup.smaller_before(np.array(values, np.int64)).tolist() == expected
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)))
-def test_suffix_array(t):
-    order = suffix_dedup.suffix_array(t).tolist()
-    assert order == sorted(range(len(t)), key=lambda i: t[i:])
-    expected = [max([0, *(k for q in range(p) for k in range(1, len(t) - p + 1) if t[q : q + k] == t[p : p + k])]) for p in range(len(t))]
-    assert suffix_dedup.longest_previous_factor(t).tolist() == expected
+@given(st.lists(st.binary(min_size=48, max_size=60).map(lambda b: bytes(x % 2 + 97 for x in b[:4]) + b"c" * 44 + bytes(x % 2 + 97 for x in b[4:12])), min_size=1, max_size=8), st.randoms())
+def test_longest_previous_factors(texts, rng):
+    """Factors to 50 bytes, of documents in any order, against all pairs; strings that are alone have none."""
+    n = suffix_dedup.LENGTH
+    ids = [rng.randrange(5) for _ in texts]
+    windows = [(ids[k], t[p : p + n], sum(map(len, texts[:k])) + p) for k, t in enumerate(texts) for p in range(len(t) - n + 1)]
+    strings = [w for _, w, _ in windows]
+    common = lambda a, b: next((k for k in range(n) if a[k] != b[k]), n)
+    got = suffix_dedup.longest_previous_factors(np.frombuffer(b"".join(texts), np.uint8), np.array([p for _, _, p in windows]), np.array([i for i, _, _ in windows]))
+    several = [(i, w) for i, w, _ in windows if strings.count(w) > 1]
+    for (i, w, _), k in zip(windows, got.tolist(), strict=True):
+        assert k == (max([common(w, v) for j, v in several if j < i], default=0) if strings.count(w) > 1 else 0)
+
+
+def test_passages_go_by_factors(spark, monkeypatch):
+    """The operator's answer comes from the factors: without them nothing goes."""
+    docs = spark.createDataFrame([(1, "a passage of more than fifty bytes that stands in two documents"), (2, "see: a passage of more than fifty bytes that stands in two documents")], "doc_id long, text string").repartition(2)
+    assert {r.doc_id: len(r.kept) for r in suffix_dedup.dedup(docs).collect()} == {1: 63, 2: 5}
+    monkeypatch.setattr(suffix_dedup, "longest_previous_factors", lambda data, starts, ids: np.zeros(len(starts), np.int64))
+    assert {r.doc_id: len(r.kept) for r in suffix_dedup.dedup(docs).collect()} == {1: 63, 2: 68}
 
 
 @pytest.mark.parametrize("hot", [4_000, 2])
