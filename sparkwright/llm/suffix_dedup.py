@@ -284,25 +284,29 @@ def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def smaller_before(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest place before it with a smaller value, or -1: up and down a tree of block minima."""
-    n = len(values)
+    """For each place the nearest place before it with a smaller value, or -1.
+
+    Where that is not the place next to it, a tree of the minima of blocks is climbed and descended.
+    """
+    out = np.arange(-1, len(values) - 1)
+    at = 1 + np.flatnonzero(values[:-1] >= values[1:])
+    out[at] = -1
     levels = [values]
     while len(levels[-1]) > 1:
         v = levels[-1]
         v = np.append(v, v[-1]) if len(v) % 2 else v
         levels.append(np.minimum(v[::2], v[1::2]))
-    out = np.full(n, -1, np.int64)
-    open_, at = np.arange(n), np.arange(n)
+    who, wanted = at, values[at]
     for k, v in enumerate(levels):
-        hit = (at % 2 == 1) & (v[np.maximum(at - 1, 0)] < values[open_])
-        who, node = open_[hit], at[hit] - 1
+        if not len(who):
+            break
+        hit = (at % 2 == 1) & (v[np.maximum(at - 1, 0)] < wanted)
+        node, below = at[hit] - 1, wanted[hit]
         for lower in reversed(levels[:k]):
             right = np.minimum(2 * node + 1, len(lower) - 1)
-            node = np.where(lower[right] < values[who], right, 2 * node)
-        out[who] = node
-        open_, at = open_[~hit], at[~hit] // 2
-        if not len(open_):
-            break
+            node = np.where(lower[right] < below, right, 2 * node)
+        out[who[hit]] = node
+        who, at, wanted = who[~hit], at[~hit] // 2, wanted[~hit]
     return out
 
 
@@ -336,21 +340,26 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, ids: np.ndarr
     shared = by_hash[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
     if not len(shared):
         return out
-    order = suffix_order(words, starts[shared], ids[shared])
-    place, doc = starts[shared][order], ids[shared][order]
-    factor = np.zeros(len(order), np.int64)
-    for neighbour in (smaller_before(doc), len(doc) - 1 - smaller_before(doc[::-1])[::-1]):
-        has = np.flatnonzero((neighbour >= 0) & (neighbour < len(doc)))
-        factor[has] = np.maximum(factor[has], agreement(words, place[has], place[neighbour[has]]))
-    out[shared[order]] = factor
+    keys = [words[starts[shared] + at].astype(np.uint64) for at in _OFFSETS]
+    order = np.lexsort((ids[shared], *reversed(keys)))  # the suffix order to LENGTH bytes, ties by id
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    first = np.flatnonzero(new)
+    doc, head = ids[shared][order], np.repeat(first, np.diff(np.append(first, len(order))))
+    # within a run of equal strings ids ascend, so all but the smallest have a smaller one before them in the run
+    factor = np.where(doc > doc[head], LENGTH, 0)
+    # the smallest of a run have their smaller neighbours in other runs, each of which is as near as its smallest id
+    least, place = doc[first], starts[shared][order[first]]
+    longest = np.zeros(len(first), np.int64)
+    for neighbour in (smaller_before(least), len(least) - 1 - smaller_before(least[::-1])[::-1]):
+        has = np.flatnonzero((neighbour >= 0) & (neighbour < len(least)))
+        longest[has] = np.maximum(longest[has], agreement(words, place[has], place[neighbour[has]]))
+    out[shared[order]] = np.maximum(factor, np.repeat(longest, np.diff(np.append(first, len(order)))))
     return out
 
 
-def suffix_order(words: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The order of the suffixes at starts, to LENGTH bytes, ties by id."""
-    return np.lexsort((ids, *(words[starts + at].astype(np.uint64) for at in reversed(_OFFSETS))))
-
-
 def covered(rows: DataFrame, n_groups: int, n_parts: int) -> DataFrame:
     """_REPLIES of the stretches of bytes that go: packed doc_id, uid, start and end of each."""
 
