@@ -152,17 +152,17 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def forest_of_pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Those of the pairs (a, b) that make a spanning forest of their graph."""
-    root: dict[int, int] = {}
+def forest_of_pairs(pairs: list[tuple]) -> list[tuple]:
+    """Those of the pairs that make a spanning forest of their graph."""
+    root: dict = {}
 
-    def top(x: int) -> int:
+    def top(x):
         while (y := root.setdefault(x, x)) != x:
             root[x] = x = root[y]
         return x
 
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for x, y in pairs:
         if (p := top(x)) != (q := top(y)):
             root[p] = q
             out.append((x, y))

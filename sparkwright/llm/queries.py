@@ -135,7 +135,7 @@ ORACLES = {
         counts as (select a as line, count(*) as n_links from both_ways group by a),
         marked as (
             select p.doc_id, p.place, p.line, coalesce(n_links, 0) as n_links,
-                   length(p.line) >= 20 and row_number() over (partition by coalesce(class, p.line) order by doc_id, place) > 1 as goes
+                   length(p.line) >= 1 and row_number() over (partition by coalesce(class, p.line) order by doc_id, place) > 1 as goes
             from places p left join classes using (line) left join counts using (line)
         )
         select doc_id, count(*)::bigint as n_lines, count_if(goes)::bigint as n_removed, sum(n_links)::bigint as n_links,

@@ -94,6 +94,48 @@ def test_short_lines_by_equality(spark):
     assert got == {1: ("Read more\n\nRead mores", 1, 0), 2: ("全著作権所有。\n", 1, 0), 3: ("Read mor", 1, 0), 4: ("a line that is long enough\nx", 0, 1), 5: ("", 2, 1)}
     got = {r.doc_id: r["_n_removed"] for r in line_dedup.dedup(df, equal=8).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
+    got = {r.doc_id: r["_n_removed"] for r in line_dedup.dedup(df, equal=None).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
+def test_lines_of_repeated_rows(spark):
+    """Of rows that are equal in doc_id and text one is first; links count once a line."""
+    docs = [(1, "the first line of them all"), (2, "the first line of them all\nand a second, other one"), (2, "the first line of them all\nand a second, other one"), (None, "the first line of them, all"), (None, "the first line of them, all")]
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id or 9, r["_kept"], r["_n_removed"], r["_n_links"]) for r in got.collect()) == [
+        (1, "the first line of them all", 0, 1), (2, "", 2, 1), (2, "and a second, other one", 1, 1), (9, "", 1, 1), (9, "", 1, 1),
+    ]
+
+
+def test_text_of_many_lines(spark):
+    """100,000 equal lines take no longer than their number."""
+    df = spark.createDataFrame([(1, "a line that comes again and again\n" * 100_000)], "doc_id long, text string")
+    r = line_dedup.dedup(df).first()
+    assert (r["_n_lines"], r["_n_removed"], r["_kept"]) == (100_001, 99_999, "a line that comes again and again\n")
+
+
+def test_hot_line_keys(spark, monkeypatch):
+    """Keys that overfill a bucket, links over several blocks and a class over all documents."""
+    monkeypatch.setattr(line_dedup, "KEYS_HELD", 150)
+    monkeypatch.setattr(line_dedup, "SLICE", 200)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    docs = [(i, f"the very same beginning {i:02d} of every line here") for i in range(40)]
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert [(r["_n_removed"], r["_n_links"]) for r in sorted(got)] == [(0, 39)] + [(1, 39)] * 39
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé", min_size=6, max_size=14), st.integers(1, 2), st.randoms())
+def test_linked_lines_share_a_key(line, edits, rng):
+    """Lines within the distance meet in a key that one of them has as a segment; the scalar and the batch form agree."""
+    other = mutated(line, rng, rng.randint(0, edits))
+    if len(other) < 6:
+        return
+    key, owner, own = line_dedup.line_keys([line, other], edits)
+    pick = lambda k: dict(sorted(zip(key[owner == k].tolist(), own[owner == k].tolist(), strict=True), key=lambda x: x[1]))
+    a, b = pick(0), pick(1)
+    assert line == other or any(a[k] or b[k] for k in a.keys() & b.keys())
+    assert len(owner[owner == 0]) == len(line_dedup.probes(len(line), edits))
 
 
 # licenses

@@ -25,7 +25,7 @@ def test_stages(spark, sf_dir, docs):
     for r in sorted(good, key=lambda r: r.doc_id):  # no two different lines of these tables are within two edits
         out = []
         for x in r.text.split("\n"):
-            if len(x) >= 20:
+            if x:
                 if x in seen:
                     continue
                 seen.add(x)
