@@ -176,6 +176,7 @@ def test_license_base_against_brute_force(spark, sf_dir):
 def test_near_dup_blocks(spark, monkeypatch):
     """A family over several blocks, with links that only some members have."""
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dup, "SKETCH_BLOCK", 4)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(150)]
     docs = []
@@ -196,6 +197,58 @@ def test_near_dup_blocks(spark, monkeypatch):
     assert 1 < len(set(name)) < 40
 
 
+def test_near_dup_strangers(spark, monkeypatch):
+    """Documents of smaller ids that share buckets with a linked pair, and with nothing else, do not hide its link.
+
+    Strangers are made from the pair's own smallest shingles under single hash functions, so that every table in which
+    the pair meets has a stranger as its smallest member.
+    """
+    rng = random.Random(9)
+    a = [f"w{i}" for i in range(60)]
+    b = [*a[:-3], "x1", "x2", "x3"]
+    pair = [near_dup.Shingler(5)(" ".join(w)) for w in (a, b)]
+    assert 0.8 <= len(np.intersect1d(*pair)) / len(np.union1d(*pair)) < 0.95
+    words = lambda n: " ".join(f"y{rng.random()}" for _ in range(n))
+    docs = [(1000, " ".join(a)), (1001, " ".join(b))]
+    # pieces of the common words: each keeps some sketches of the pair and has many shingles of its own
+    docs += [(i, " ".join(a[k : k + 14]) + " " + words(8)) for i, k in enumerate(range(0, 44, 2))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "ROWS", 1)
+    for least in (4, 8, 12):
+        monkeypatch.setattr(near_dup, "LEAST_EQUAL", least)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+        assert got == {i: 1000 if i >= 1000 else i for i, _ in docs}
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_candidates_lose_no_pair(spark, monkeypatch, block):
+    """All pairs of a bucket with enough equal sketches are in one family, whatever else is in the bucket."""
+    from sparkwright.llm.common import Tables
+
+    monkeypatch.setattr(near_dup, "SKETCH_BLOCK", block)
+    rng = np.random.default_rng(4)
+    n, width = 60, 2 * near_dup.SKETCHES
+    sketches = rng.integers(0, 2**60, (n, width))
+    base = rng.integers(0, 2**60, (6, width))
+    for i in range(n):  # every document takes a few sketches of every base, and two of a common one
+        for k in range(6):
+            some = rng.choice(width, rng.integers(0, 5), replace=False)
+            sketches[i, some] = base[k, some]
+        sketches[i, [0, width - 1]] = base[0, [0, width - 1]]
+    near = (sketches[:, None] == sketches[None]).sum(2) >= near_dup.LEAST_EQUAL
+    root = list(range(n))
+    for _ in range(n):
+        root = [min(root[j] for j in range(n) if near[i, j] or i == j) for i in range(n)]
+    reps = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sketches)], "doc_id long, sketches array<long>")
+    edges = [tuple(r) for r in near_dup.candidates(reps, Tables(spark, "test")).collect()]
+    assert all(near[a, b] for a, b in edges)
+    got = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == root and len(set(root)) < n
+
+
 def test_near_dup_rows_of_one_id(spark):
     """Rows of one doc_id are one document with the shingles of all its texts, as in the SQL."""
     import duckdb
