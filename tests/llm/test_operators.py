@@ -502,6 +502,28 @@ def test_search_block(seed, n, dims, k):
         assert [(-s, i) for _, i, s in [x for x in got if x[0] == q]] == [(s, i) for s, i in expected]
 
 
+def test_search_traverses_fewer_rows(monkeypatch):
+    """Postings and bounds leave most rows of a skewed shard alone."""
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    rng = np.random.default_rng(2)
+    rows = np.where(rng.random((4_000, 32)) < 0.1, rng.integers(-200, 200, (4_000, 32)), 0).astype(float)
+    shard = topk.Shard(np.arange(4_000), rows)
+    for q in range(0, 4_000, 200):
+        scores = rows @ rows[q]
+        expected = sorted(((-int(s), i) for i, s in enumerate(scores.tolist()) if i != q))[:5]
+        assert [(-s, i) for i, s in shard.search(q, rows[q], 5)] == expected
+    assert shard.traversed < 0.6 * 20 * 4_000
+
+
+def test_search_of_large_components(spark):
+    """Scores of any finite components are ranked by their exact values."""
+    rows = [(0, [1e17, 1.0]), (1, [1e17, -1.0]), (2, [2e17, 1.0]), (3, [-1e17, 0.0]), (4, [0.5, 0.25]), (5, [1e300, 0.0]), (6, [2e300, 0.0]), (7, [-1e300, 1.0]), (8, [-2e300, 1.0])]
+    exact = {i: [int(v) * 256 if abs(v) > 2**53 else int(v * 256) for v in x] for i, x in rows}
+    expected = sorted((-sum(a * b for a, b in zip(exact[0], exact[i], strict=True)), i) for i in range(1, 9))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 8).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in expected]
+
+
 def test_search_in_many_blocks(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     whole = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
