@@ -75,9 +75,11 @@ def apart(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables: spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place.
+    Where that is unset a temporary folder takes its place, but only if all runs on this machine; else it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (base or os.path.join(tempfile.gettempdir(), "sparkwright-shared")).rstrip("/")
 
 
@@ -128,6 +130,15 @@ class Tables:
             return
 
 
+def in_sample(key: Column, salt: str, n: int, bound: int) -> Column:
+    """Whether a row is among about bound of n rows, by a 63-bit hash of key; all rows if n is not more.
+
+    The threshold is a share of 2**63, so it does not vanish for any number of rows.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1)
+    return F.lit(True) if n <= bound else h < F.lit((bound << 63) // n)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

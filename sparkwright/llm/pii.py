@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import documents, map_arrow
+from sparkwright.llm.common import documents, in_sample, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4_000
+#: The longest documents that a sample may hold, in code points; with its number of rows it bounds the driver's memory.
+LONGEST = 50_000
 CONFIDENT = 0.9
 PASSES, DAMPING = 12, 0.5
 
@@ -276,12 +278,10 @@ def fit(texts: list[str], *, rounds: int = 300, rate: float = 0.1, ridge: float
     return Field(*params)
 
 
-def train(docs: DataFrame, *, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
-    """A field fitted to the fixed patterns in about bound documents that have a digit or an @."""
+def train(docs: DataFrame, *, bound: int = SAMPLE, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
+    """A field fitted to the fixed patterns in about bound documents of at most longest code points that have a digit or an @."""
     rows = documents(docs, id_col, text_col)
-    n = docs.count()
-    if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1_000_000)) < int(1e6 * bound / n))
+    rows = rows.where(in_sample(F.col("doc_id"), "pii", docs.count(), bound) & (F.length("text") <= longest))
     texts = rows.where(F.col("text").rlike("[0-9@]")).toPandas().sort_values(["doc_id", "text"], kind="stable")["text"].tolist()
     return fit(texts)
 

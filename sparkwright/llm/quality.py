@@ -6,7 +6,9 @@ numpy, over which every document is scored batch by batch. Everything else cover
 
 A document fails the rules if it has fewer than MIN_WORDS words, or if over MAX_REPEAT per cent of its words stand
 in repeated windows of WINDOW words. It is kept if it passes and the trees give it a score of THRESHOLD or more.
-Null and empty texts have no words and fail. Without labels of both kinds there are no trees and the score is 1.
+Null and empty texts have no words and fail. Without labels of both kinds there are no trees and the score is 1. Every
+row is judged by its own text alone, so repeated rows have equal verdicts; an empty table gives no rows. The result of
+assess has columns of its own only, keep returns the table's own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import WORD, documents, map_arrow
+from sparkwright.llm.common import WORD, documents, in_sample, map_arrow
 
 SAMPLE = 20_000
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
@@ -171,10 +173,7 @@ def fit(x: np.ndarray, y: np.ndarray, directions: list[int], *, rounds: int = 40
 def labelled_sample(labels: DataFrame, label: str, bound: int = SAMPLE, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, label) of about bound labelled rows, those with the smallest hashes of doc_id; all if fewer."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    n = rows.count()
-    if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000)) < int(1e6 * bound / n))
-    return rows
+    return rows.where(in_sample(F.col("doc_id"), label, rows.count(), bound))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:

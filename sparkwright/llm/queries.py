@@ -67,7 +67,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a fifth of the labels, by a checksum of doc_id, is held out."""
-    docs, held_out = load(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs, held_out = load(spark, sf_dir, "documents"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     lexicon = toxicity.train(docs, load(spark, sf_dir, "labels"), ~held_out)
     rated = toxicity.rate(docs, lexicon)
     return rated.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))

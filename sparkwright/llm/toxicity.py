@@ -2,10 +2,13 @@
 
 A sentence's score is a logistic function of its words' weights; a document is toxic if any sentence is, so its
 score is 1 - prod(1 - p). The weights are fitted on the driver, with an L1 penalty, to the labels of a bounded
-sample of documents (about SAMPLE rows, by a hash of doc_id); only words and sentence bounds enter. The sentences
-whose own score is THRESHOLD or more are the offending ones.
+sample of documents (about SAMPLE rows of at most LONGEST code points, by a hash of doc_id); only words and sentence
+bounds enter. Sentences of a score below EVIDENCE say nothing and count as 0, so that no text becomes toxic by its
+length alone. The sentences whose own score is THRESHOLD or more are the offending ones.
 
-Null and empty texts have no sentences and score 0. Without labels of both kinds every score is 0.
+Null and empty texts have no sentences and score 0. Without labels of both kinds every score is 0. Every row is scored by
+its own text alone, so repeated rows have equal scores; an empty table gives no rows. The result has columns of its own
+only, whatever the table's other columns are called.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ LEAST_DOCS, VOCABULARY = 4, 60_000
 #: The share of toxic documents among those with a feature, against that of all, from which it may tell anything.
 LIFT = 1.5
 THRESHOLD = 0.5
+#: The least score of a sentence that counts.
+EVIDENCE = 0.05
+#: The longest documents that a sample may hold, in code points; with its number of rows it bounds the driver's memory.
+LONGEST = 50_000
 
 _sentences = re.compile(r"[^.!?\n]+").finditer
 _words = re.compile(r"[^\W\d_]+").findall
@@ -50,30 +57,22 @@ class Lexicon:
     bias: float
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, log odds) of the sentences that hold a weighted word, and (-1, count, bias) for the rest."""
-        out, rest, get = [], 0, self.weights.get
+        """(start, end, score) of the sentences whose words are evidence."""
+        out, get = [], self.weights.get
         for m in _sentences(text):
             known = [w for w in map(get, terms(m[0])) if w is not None]
             if known:
-                out.append((m.start(), m.end(), self.bias + sum(known)))
-            else:
-                rest += 1
-        return [*out, (-1, rest, self.bias)]
-
-
-def _softplus(z: float) -> float:
-    return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
+                p = 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + sum(known)))))
+                if p >= EVIDENCE:
+                    out.append((m.start(), m.end(), p))
+        return out
 
 
 def score(lexicon: Lexicon, text: str) -> tuple[float, list[tuple[int, int, float]]]:
     """The noisy-or of a text's sentences, and (start, end, score) of the offending ones."""
-    none, found = 0.0, []
-    for start, end, z in lexicon.sentences(text):
-        none += _softplus(z) * (end if start < 0 else 1)
-        p = 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
-        if start >= 0 and p >= THRESHOLD:
-            found.append((start, end, p))
-    return -math.expm1(-none), found
+    counted = lexicon.sentences(text)
+    clean = math.fsum(math.log1p(-min(p, 1 - 1e-15)) for _, _, p in counted)
+    return -math.expm1(clean), [x for x in counted if x[2] >= THRESHOLD]
 
 
 def fit(texts: list[str], y: np.ndarray, *, rounds: int = 120, rate: float = 0.15, penalty: float = 2e-4) -> Lexicon | None:
@@ -119,12 +118,12 @@ def fit(texts: list[str], y: np.ndarray, *, rounds: int = 120, rate: float = 0.1
     return Lexicon({word: float(w[i]) for word, i in index.items() if keep[i]}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *, label: str = "toxic", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Lexicon | None:
-    """A lexicon fitted to a bounded sample of the labelled documents for which allowed (of doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *, label: str = "toxic", bound: int = SAMPLE, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> Lexicon | None:
+    """A lexicon fitted to a bounded sample of the labelled documents, none longer than longest, for which allowed (of doc_id) holds."""
     if allowed is not None:
         labels = labels.where(allowed)
     sample = F.broadcast(labelled_sample(labels, label, bound))  # about bound rows of two numbers
-    got = documents(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "label", "text").toPandas()
+    got = documents(docs, id_col, text_col).where(F.length("text") <= longest).join(sample, "doc_id").select("doc_id", "label", "text").toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     return fit(got["text"].tolist(), got["label"].to_numpy(float)) if len(got) else None
 

@@ -411,6 +411,30 @@ def test_toxicity_finds_sentences():
     assert toxicity.score(lexicon, "So it goes. The end.")[0] < 0.5
 
 
+def test_length_is_not_toxic(spark):
+    """Any number of neutral sentences stays below the threshold."""
+    sf_dir = "/root/testdata/sf0.01"
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.train(docs, labels, ~held_out)
+    for sentence in ("The train leaves at noon. ", "We went home and had some tea. ", "Das Haus steht am Fluss. "):
+        assert toxicity.score(lexicon, sentence * 100_000)[0] < 0.5
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").select("text").limit(400).collect()
+    calm = [r.text for r in clean if toxicity.score(lexicon, r.text)[0] == 0]
+    assert len(calm) > 300 and toxicity.score(lexicon, "\n".join(calm))[0] < 0.5
+
+
+@pytest.mark.parametrize("n", [0, 5, 4_000, 10**11, 10**15])
+def test_sample_never_vanishes(spark, n):
+    from sparkwright.llm.common import in_sample
+
+    ids = spark.range(200_000).select(F.col("id").alias("doc_id"))
+    got = ids.where(in_sample(F.col("doc_id"), "x", max(n, 200_000) if n > 4_000 else n, 20_000 if n <= 10**11 else 10**12)).count()
+    share = 1 if n <= 4_000 else 20_000 / n if n == 10**11 else 10**12 / n
+    assert abs(got - 200_000 * share) <= 6 * (200_000 * share) ** 0.5 + 1
+    assert (20_000 << 63) // 10**15 > 0
+
+
 def test_repeat_words():
     rng = random.Random(2)
     for _ in range(300):
