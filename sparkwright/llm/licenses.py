@@ -5,8 +5,12 @@ and {n} stands for up to n words of any kind. All templates are compiled into on
 deterministic state by state as texts need it, and a place of a text is accepted if the mandatory wording matches
 word for word. Texts are lower-cased in A-Z and cut into words of digits, a-z and all beyond ASCII.
 
-BASE holds plain phrases, which are templates too; their places are always reported. Null and empty texts have no
-words and no matches.
+BASE holds plain phrases, which are templates too; their places are always reported. A whole license is accepted only
+with all of its mandatory wording in its place; an opening that stands alone, or with other conditions after it, has a
+label of its own. Versions are mandatory in notices.
+
+Null and empty texts have no words and no matches. Every row is scanned on its own, so repeated rows have equal
+matches; an empty table gives no rows. The result has columns of its own only, whatever the table's are called.
 """
 
 from __future__ import annotations
@@ -28,23 +32,55 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Templates of well-known license texts and notices, and their labels.
+_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software] to deal in the software without restriction"
+_MIT_RIGHTS = "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_MIT_NOTICE = "the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software"
+_MIT_DISCLAIMER = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and (noninfringement | non infringement) "
+    "in no event shall (the authors or copyright holders | {8}) be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "[1 | a | i] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "[2 | b | ii] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "[3 | c | iii] neither the (name | names) of (the copyright holder | {12}) nor the names of (its | the | their) contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = (
+    "this software is provided by (the copyright holders and contributors | {12}) as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall (the copyright holder or contributors | the copyright owner or contributors | {12}) be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu"
+_PUBLISHED = "[as published by the free software foundation] [either] (version | v)"
+
+#: Templates of whole license texts and of notices that name a license and its version. The wording of
+#: the licenses, and their usual short names as labels; "-grant" marks an opening that stands without the rest.
 TEMPLATES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software] to deal in the software without restriction": "mit",
+    f"{_GRANT} {_MIT_RIGHTS} {_MIT_NOTICE} {_MIT_DISCLAIMER}": "mit",
+    f"{_GRANT} {_MIT_RIGHTS} {_MIT_DISCLAIMER}": "mit-0",
+    _GRANT: "mit-grant",
     "(released | licensed | distributed | available) under the [terms of the] mit license": "mit",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
-    "neither the name of {12} nor the names of [its] contributors may be used to endorse or promote products derived from this software": "bsd-3",
-    "licensed under the apache license [version 2 0] [the license]": "apache-2",
-    "licensed to {8} under one or more contributor license agreements": "apache-2",
-    "gnu general public license [as published by the free software foundation] [either] (version | v) 2": "gpl-2",
-    "gnu general public license [as published by the free software foundation] [either] (version | v) 3": "gpl-3",
-    "gnu (lesser | library) general public license": "lgpl",
-    "gnu affero general public license": "agpl",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and {6} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall {6} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc",
+    f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_DISCLAIMER}": "bsd-2",
+    f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_DISCLAIMER}": "bsd-3",
+    _BSD_GRANT: "bsd-grant",
+    "licensed under the apache license version 2 [0] [the license]": "apache-2",
+    "licensed to {8} under one or more contributor license agreements see the notice file distributed with this work for additional information regarding copyright ownership "
+    "{8} licenses this file to you under the apache license version 2 [0] [the license]": "apache-2",
+    f"gnu general public license {_PUBLISHED} 2": "gpl-2",
+    f"gnu general public license {_PUBLISHED} 3": "gpl-3",
+    f"{_FREE} general public license {_PUBLISHED} 2 [of the license] or at your option any later version": "gpl-2-or-later",
+    f"{_FREE} general public license {_PUBLISHED} 3 [of the license] or at your option any later version": "gpl-3-or-later",
+    f"gnu (lesser | library) general public license {_PUBLISHED} 2 [0]": "lgpl-2",
+    f"gnu lesser general public license {_PUBLISHED} 2 1": "lgpl-2-1",
+    f"gnu lesser general public license {_PUBLISHED} 3": "lgpl-3",
+    f"gnu affero general public license {_PUBLISHED} 3": "agpl-3",
     "mozilla public license [(version | v)] 2 0": "mpl-2",
-    "creative commons attribution [noncommercial | non commercial] [sharealike | share alike] [noderivatives | no derivatives] {1} [international] (license | licence)": "cc-by",
+    "creative commons attribution (2 0 | 2 5 | 3 0 | 4 0) [international | unported | generic] (license | licence)": "cc-by",
+    "creative commons attribution (sharealike | share alike) (2 0 | 2 5 | 3 0 | 4 0) [international | unported | generic] (license | licence)": "cc-by-sa",
     "creative commons attribution (noncommercial | non commercial)": "cc-by-nc",
-    "this is free and unencumbered software released into the public domain": "unlicense",
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
 }
 
 _tokens = re.compile(LICENSE_WORD).findall

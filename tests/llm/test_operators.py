@@ -141,21 +141,74 @@ def test_linked_lines_share_a_key(line, edits, rng):
 # licenses
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL %s BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = "3. Neither the name of Some Such University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
 def test_license_templates(spark):
-    texts = [
-        "Under the MIT License. under the mit license",
-        "Licensed to Some Such Body under one or more contributor license agreements",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-        "permission is hereby granted free of any charge",
-        "the Apache License, Version 2.0; CC-BY-NC",
-        "GNU General Public License, version 3",
+    holders = "THE AUTHORS OR COPYRIGHT HOLDERS"
+    cases = [
+        ("Under the MIT License. under the mit license", ["mit"]),
+        (MIT % holders, ["mit", "mit-grant"]),
+        ("Copyright 2020 Them\n\n" + MIT % "SOME SUCH COMPANY", ["mit", "mit-grant"]),
+        ((MIT % holders).replace("\n\nTHE", "\n\nThe Software shall be used for Good, not Evil.\n\nTHE"), ["mit-grant"]),
+        ((MIT % holders).replace("sublicense, ", ""), ["mit-grant"]),
+        ((MIT % holders)[:220], ["mit-grant"]),
+        (BSD % "", ["bsd-2", "bsd-grant"]),
+        (BSD % NAMES, ["bsd-3", "bsd-grant"]),
+        (BSD % "3. All advertising materials must say so.\n", ["bsd-grant"]),
+        ("Licensed to the Some Such Body under one or more contributor license agreements", []),
+        ("licensed under the Apache License, Version 1.1", []),
+        ("permission is hereby granted free of any charge", []),
+        ("the Apache License, Version 2.0; CC-BY-NC", ["apache-2", "cc-by-nc"]),
+        ("GNU General Public License, version 3", ["gpl-3"]),
+        ("a Creative Commons Attribution 4.0 International License", ["cc-by"]),
+        ("a Creative Commons Attribution-NonCommercial 4.0 International License", ["cc-by-nc"]),
     ]
-    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
-    labels = [sorted({m.label for m in found[i].matches}) for i in range(len(texts))]
-    assert labels == [["mit"], ["apache-2"], ["mit"], [], ["apache-2", "cc-by-nc"], ["gpl-3"]]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([*enumerate(t for t, _ in cases)], "doc_id long, text string")).collect()}
+    assert [sorted({m.label for m in found[i].matches}) for i in range(len(cases))] == [labels for _, labels in cases]
     assert [m.first for m in found[0].matches if m.base] == [0, 4]
 
 
+words = st.lists(st.sampled_from("abc"), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(words)
+def test_automaton_against_expressions(found):
+    """Every template's longest match at every place, as a regular expression over the words finds it."""
+    templates = {"a b": r"a b ", "a [b] c": r"a (?:b )?c ", "b {2} c": r"b (?:\w ){0,2}c ", "(a | b c) [a | b] c": r"(?:a |b c )(?:a |b )?c "}
+    text, expected = "".join(w + " " for w in found), []
+    for i in range(len(found)):
+        for k, pattern in enumerate(templates.values()):
+            ends = [j for j in range(i, len(found) + 1) if re.fullmatch(pattern, text[2 * i : 2 * j])]
+            expected += [(k, i, max(ends))] if ends else []
+    assert licenses.Automaton([*templates]).find(found) == expected
+
+
 def test_license_base_against_brute_force(spark, sf_dir):
     got = {r.doc_id: r for r in QUERIES["op3_licenses"](spark, sf_dir).collect()}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
