@@ -313,17 +313,54 @@ def smaller_before(values: np.ndarray) -> np.ndarray:
 _OFFSETS = (*range(0, LENGTH - 7, 8), LENGTH - 8)
 
 
-def agreement(words: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """How many bytes the strings at p and q share from their start, LENGTH at most; words are big-endian, one at each byte."""
-    out = np.full(len(p), LENGTH, np.int64)
-    for at in reversed(_OFFSETS):
-        differs = words[p + at] ^ words[q + at]
+def agreement(keys: list[np.ndarray], p: np.ndarray | slice, q: np.ndarray | slice) -> np.ndarray:
+    """How many bytes strings p and q share from their start, LENGTH at most; keys are their words, one array for each of _OFFSETS."""
+    out = np.full(len(keys[0][p]), LENGTH, np.int64)
+    for at, key in zip(reversed(_OFFSETS), reversed(keys), strict=True):
+        differs = key[p] ^ key[q]
         some = np.flatnonzero(differs)
-        d = differs[some].astype(np.uint64)
+        d = differs[some]
         out[some] = at + sum((d < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
     return out
 
 
+def suffix_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of strings by their words: by the first one, then, among those still equal, by each further one."""
+    order = np.argsort(keys[0])
+    new = np.append(True, np.diff(keys[0][order]) != 0)
+    for key in keys[1:]:
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
+            break
+        some = order[tied]
+        word = key[some]
+        by_word = np.argsort(word)
+        rank = np.empty(len(some), np.int64)
+        rank[by_word] = np.cumsum(np.append(False, np.diff(word[by_word]) != 0))
+        both = (np.cumsum(new)[tied] << 32) | rank
+        place = np.argsort(both)
+        order[tied] = some[place]
+        new[tied] |= np.append(True, np.diff(both[place]) != 0)
+    return order
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BYTES = np.random.default_rng(20_240_918).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes at each start: a polynomial modulo 2**64, from running sums."""
+    if len(_powers[0]) <= len(data):
+        n = max(len(data) + 1, 2 * len(_powers[0]))
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)), dtype=np.uint64) for x in (_BASE, _INVERSE)]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _powers[0][: len(data)], out=sums[1:])
+    h = (sums[starts + LENGTH] - sums[starts]) * _powers[1][starts]
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def longest_previous_factors(data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each start the length, to LENGTH, of its longest string that starts in a document of a smaller id too.
 
@@ -331,32 +368,43 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, ids: np.ndarr
     """
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
-    h = np.zeros(len(starts), np.uint64)
-    for at in _OFFSETS:
-        h = (h ^ (h >> np.uint64(31)) ^ words[starts + at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     out = np.zeros(len(starts), np.int64)
+    h = string_hashes(data, starts)
     by_hash = np.argsort(h)
-    same = h[by_hash][1:] == h[by_hash][:-1]
-    shared = by_hash[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    same = np.diff(h[by_hash]) == 0
+    several = np.append(False, same) | np.append(same, False)
+    shared = by_hash[several]
     if not len(shared):
         return out
-    keys = [words[starts[shared] + at].astype(np.uint64) for at in _OFFSETS]
-    order = np.lexsort((ids[shared], *reversed(keys)))  # the suffix order to LENGTH bytes, ties by id
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
+    # equal strings side by side, ties by id; the hash tells them apart from others unless their bytes say otherwise
+    new = ~np.append(False, same)[several]
+    rank = ids[shared] if 0 <= ids.min() and ids.max() < 1 << 32 else np.unique(ids[shared], return_inverse=True)[1]
+    order = shared[np.argsort((np.cumsum(new) << 32) | rank)]
+    key = [words[starts[order] + at] for at in _OFFSETS]
+    if any((k[1:] != k[:-1])[~new[1:]].any() for k in key):
+        order = shared[np.lexsort((ids[shared], *(words[starts[shared] + at].astype(np.uint64) for at in reversed(_OFFSETS))))]
+        key = [words[starts[order] + at] for at in _OFFSETS]
+        new = np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))
     first = np.flatnonzero(new)
-    doc, head = ids[shared][order], np.repeat(first, np.diff(np.append(first, len(order))))
+    run = np.cumsum(new) - 1
+    doc = ids[order]
     # within a run of equal strings ids ascend, so all but the smallest have a smaller one before them in the run
-    factor = np.where(doc > doc[head], LENGTH, 0)
-    # the smallest of a run have their smaller neighbours in other runs, each of which is as near as its smallest id
-    least, place = doc[first], starts[shared][order[first]]
+    factor = np.where(doc > doc[first][run], LENGTH, 0)
+    # the smallest of a run have their smaller neighbours in other runs, whose suffix order is that of their first strings
+    keys = [k[first].astype(np.uint64) for k in key]
+    suffixes = suffix_order(keys)
+    keys, least = [k[suffixes] for k in keys], doc[first][suffixes]
+    next_to = np.append(0, agreement(keys, slice(1, None), slice(None, -1)))
     longest = np.zeros(len(first), np.int64)
-    for neighbour in (smaller_before(least), len(least) - 1 - smaller_before(least[::-1])[::-1]):
+    for step, neighbour in ((-1, smaller_before(least)), (1, len(least) - 1 - smaller_before(least[::-1])[::-1])):
         has = np.flatnonzero((neighbour >= 0) & (neighbour < len(least)))
-        longest[has] = np.maximum(longest[has], agreement(words, place[has], place[neighbour[has]]))
-    out[shared[order]] = np.maximum(factor, np.repeat(longest, np.diff(np.append(first, len(order)))))
+        beside = neighbour[has] == has + step
+        near, far = has[beside], has[~beside]
+        longest[near] = np.maximum(longest[near], next_to[np.maximum(near, near + step)])
+        longest[far] = np.maximum(longest[far], agreement(keys, far, neighbour[far]))
+    of_run = np.empty(len(first), np.int64)
+    of_run[suffixes] = longest
+    out[order] = np.maximum(factor, of_run[run])
     return out
 
 

@@ -439,6 +439,13 @@ def test_smaller_before(values):
     assert suffix_dedup.smaller_before(np.array(values, np.int64)).tolist() == expected
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 2)] * 3), min_size=1, max_size=30))
+def test_suffix_order(rows):
+    keys = [np.array([r[k] for r in rows], np.uint64) for k in range(3)]
+    assert [rows[i] for i in suffix_dedup.suffix_order(keys)] == sorted(rows)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(min_size=48, max_size=60).map(lambda b: bytes(x % 2 + 97 for x in b[:4]) + b"c" * 44 + bytes(x % 2 + 97 for x in b[4:12])), min_size=1, max_size=8), st.randoms())
 def test_longest_previous_factors(texts, rng):
