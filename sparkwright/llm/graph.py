@@ -6,10 +6,58 @@ nor any task holds a component, however large. A vertex of many edges is a skewe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import Tables
+from sparkwright.llm.common import Tables, map_batches, partitions
+
+#: Edges of which a task keeps a spanning forest at a time.
+THINNED = 200_000
+
+def forest_of_pairs(pairs: list[tuple]) -> list[tuple]:
+    """Those of the pairs that make a spanning forest of their graph."""
+    root: dict = {}
+
+    def top(x):
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    out = []
+    for x, y in pairs:
+        if (p := top(x)) != (q := top(y)):
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, fewer where many vertices share many neighbours: forests of those that meet at b."""
+    schema, n_parts = edges.schema, partitions(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def forest() -> Iterator[pa.RecordBatch]:
+            found = forest_of_pairs(held)
+            held.clear()
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            if len(held) >= THINNED:
+                yield from forest()
+        if held:
+            yield from forest()
+
+    return map_batches(edges.repartition(n_parts, "b"), run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +76,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches; nodes without edges are absent."""
-    now = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tidy = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    now = tidy(thinned(tidy(edges.where("a is not null and b is not null and a <> b"))))
     now = tables.write(now, f"{name}-0")
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before, step = state(now), 0

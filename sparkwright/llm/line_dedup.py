@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkwright.llm.common import Tables, apart, map_batches, partitions
-from sparkwright.llm.graph import components
-from sparkwright.llm.near_dup import forest_of_pairs
+from sparkwright.llm.graph import components, forest_of_pairs
 
 EDITS, LEAST_CHARS, EQUAL = 2, 20, 1
 #: Lines of a block; pairs that are verified together; code points of their padded matrix.

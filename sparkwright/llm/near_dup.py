@@ -232,23 +232,6 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def forest_of_pairs(pairs: list[tuple]) -> list[tuple]:
-    """Those of the pairs that make a spanning forest of their graph."""
-    root: dict = {}
-
-    def top(x):
-        while (y := root.setdefault(x, x)) != x:
-            root[x] = x = root[y]
-        return x
-
-    out = []
-    for x, y in pairs:
-        if (p := top(x)) != (q := top(y)):
-            root[p] = q
-            out.append((x, y))
-    return out
-
-
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """The matrix of numbers of common elements of sets."""
     n = len(sets)
