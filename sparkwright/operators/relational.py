@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sparkwright.functions.aggregates import Aggregate, PandasCustom
 from sparkwright.sources.storage import shared_path
 
-#: Rows up to which the inner side of an index join may be broadcast without asking Spark for its size in bytes.
-SMALL_ROWS = 100_000
+#: Bytes, by Spark's estimate, up to which the inner side of an index join is broadcast.
+SMALL_BYTES = 64 << 20
 
 
 def project(df: DataFrame, *columns: str) -> DataFrame:
@@ -52,10 +52,10 @@ def join_merge(left: DataFrame, right: DataFrame, *pairs: tuple[str, str]) -> Da
     return left.hint("merge").join(right, _equal(left, right, [*pairs]))
 
 
-def join_index(outer: DataFrame, inner: DataFrame, *pairs: tuple[str, str], most_rows: int = SMALL_ROWS) -> DataFrame:
-    """A lookup of each outer row in the inner side, by broadcast if that has most_rows rows or fewer, else by merge."""
-    fits = inner.limit(most_rows + 1).count() <= most_rows
-    return outer.join(F.broadcast(inner) if fits else inner.hint("merge"), _equal(outer, inner, [*pairs]))
+def join_index(outer: DataFrame, inner: DataFrame, *pairs: tuple[str, str], most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A lookup of each outer row in the inner side, by broadcast if that is most_bytes or less by Spark's estimate, else by merge."""
+    size = int(str(inner._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return outer.join(F.broadcast(inner) if size <= most_bytes else inner.hint("merge"), _equal(outer, inner, [*pairs]))
 
 
 def group_by(df: DataFrame, keys: list[str], aggregates: list[Aggregate]) -> DataFrame:

@@ -155,7 +155,69 @@ def index_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "customer").agg(F.count("*").alias("recs"), F.countDistinct("c_nationkey").alias("v_nationkey"), F.countDistinct("c_mktsegment").alias("v_mktsegment"))
+    engine = _engine(spark, sf_dir)
+    found = engine.stats("customer", exact=True)
+    return engine.spark.createDataFrame([(found["recs"], found["v_c_nationkey"], found["v_c_mktsegment"])], "recs long, v_nationkey long, v_mktsegment long")
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = _copied(spark, sf_dir, "nation", "n_nationkey int, n_name varchar(25), n_regionkey int")
+    engine.update("create index by_region on nation(n_regionkey) using btree")
+    engine.update("create index by_key on nation(n_nationkey)")
+    engine.commit()
+    return engine
+
+
+def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups after changes of an indexed table."""
+    engine = _indexed(spark, sf_dir)
+    engine.update("insert into nation (n_nationkey, n_name, n_regionkey) values (25, 'atlantis', 1)")
+    engine.update("delete from nation where n_nationkey = 1")
+    engine.update("update nation set n_regionkey = 1 where n_nationkey = 5")
+    engine.commit()
+    return engine.query("select n_nationkey, n_name from nation where n_regionkey = 1")
+
+
+def index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir).query("select indexname, tablename, fieldname, indextype from idxcat")
+
+
+def index_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a lookup gives with and without index use."""
+    engine = _indexed(spark, sf_dir)
+    found = engine.indexcmp("select n_name from nation where n_regionkey = 1")
+    return engine.spark.createDataFrame([(k, m.rows) for k, m in found.items()], "mode string, n_rows long")
+
+
+def client_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as a client's result set hands them over."""
+    from sparkwright.client import Connection
+
+    engine = _engine(spark, sf_dir)
+    found = Connection(engine).create_statement().execute_query("select r_regionkey, r_name from region")
+    rows = []
+    while found.next():
+        rows.append((int(found.get_int("r_regionkey")), found.get_string("r_name")))
+    return engine.spark.createDataFrame(rows, "r_regionkey long, r_name string")
+
+
+def batch_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of statements, committed in batches of three."""
+    from sparkwright.streaming.batches import load
+
+    engine = Engine(spark)
+    names = [r.n_name for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    lines = ["create table names (id int, name varchar(25));", *(f"insert into names (id, name)\n values ({i}, '{n}');" for i, n in enumerate(names)), "delete from names where id = 3;"]
+    load(engine, lines, batch=3)
+    return engine.query("select id, name from names")
+
+
+def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of the generated student tables."""
+    from sparkwright.sources.fixtures import tables
+
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name, df in tables(spark).items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3]).union(counts[4])
 
 
 def explain_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +268,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explain_analyze": explain_analyze,
     "compare": compare,
     "system_catalog": system_catalog,
+    "index_maintenance": index_maintenance,
+    "index_catalog": index_catalog,
+    "index_compare": index_compare,
+    "client_result": client_result,
+    "batch_load": batch_load,
+    "fixture": fixture,
 }
 
 ORACLES = {
@@ -232,4 +300,10 @@ ORACLES = {
     "explain_analyze": "select count(*) as n_rows from customer, nation where c_nationkey = n_nationkey",
     "compare": "select unnest(['heuristic', 'selinger', 'basic']) as planner, (select count(*) from customer, nation where c_nationkey = n_nationkey) as n_rows",
     "system_catalog": "select * from (values ('n_nationkey', 0), ('n_name', 25), ('n_regionkey', 0)) as t(fldname, length)",
+    "index_maintenance": "select n_nationkey, n_name from nation where n_nationkey <> 1 and (n_regionkey = 1 or n_nationkey = 5) union all select 25, 'atlantis'",
+    "index_catalog": "select * from (values ('by_region', 'nation', 'n_regionkey', 'btree'), ('by_key', 'nation', 'n_nationkey', 'hash')) as t(indexname, tablename, fieldname, indextype)",
+    "index_compare": "select unnest(['index on', 'index off']) as mode, (select count(*) from nation where n_regionkey = 1) as n_rows",
+    "client_result": "select r_regionkey, r_name from region",
+    "batch_load": "select n_nationkey::int as id, n_name as name from nation where n_nationkey <> 3",
+    "fixture": "select * from (values ('dept', 12), ('student', 5000), ('course', 36), ('sect', 108), ('enroll', 5000)) as t(name, n_rows)",
 }

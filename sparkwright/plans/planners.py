@@ -27,11 +27,17 @@ PLANNERS = {
 INDEX = {"on": {"spark.sql.parquet.filterPushdown": "true"}, "off": {"spark.sql.parquet.filterPushdown": "false"}}
 
 
-def apply(spark: SparkSession, planner: str, index: str) -> None:
-    """Puts a session in a mode; what the other modes set goes back to the defaults."""
-    wanted = PLANNERS[planner] | INDEX[index]
-    for key in {k for mode in (*PLANNERS.values(), *INDEX.values()) for k in mode}:
+#: Every setting that some mode makes.
+KEYS = sorted({k for mode in (*PLANNERS.values(), *INDEX.values()) for k in mode})
+
+
+def apply(spark: SparkSession, planner: str, index: str, own: dict[str, str] | None = None) -> None:
+    """Puts a session in a mode; what only other modes set goes back to own, the settings that the session came with."""
+    wanted, own = PLANNERS[planner] | INDEX[index], own or {}
+    for key in KEYS:
         if key in wanted:
             spark.conf.set(key, wanted[key])
+        elif key in own:
+            spark.conf.set(key, own[key])
         else:
             spark.conf.unset(key)

@@ -1,8 +1,9 @@
 """Versioned tables on any file system that Spark knows.
 
 A table is a list of Parquet parts, and the catalog a numbered JSON file that names every table's parts, the views and
-the indexes. A commit is the exclusive creation of the next number: readers keep the version they began with, two
-writers cannot both commit, and a rollback just forgets the new parts. Deletions and updates rewrite only the parts
+the indexes. A commit writes the next version under another name and renames it to its number, which fails if that
+number is taken: a version is never seen half-written, readers keep the version they began with, two writers cannot
+both commit, and a rollback just forgets the new parts. Stores without such a rename are no place for a catalog. Deletions and updates rewrite only the parts
 that hold rows they touch.
 """
 
@@ -25,8 +26,11 @@ class CatalogError(ValueError):
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sparkwright-shared")
+    """A fresh path in spark.checkpoint.dir, or in a temporary folder where that is unset and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise CatalogError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "sparkwright-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,15 +57,20 @@ class Files:
             stream.close()
 
     def create(self, name: str, content: str) -> bool:
-        """Writes a new file; false if there is one of that name already, also if it came up just now."""
+        """Writes a new file, whole or not at all; false if there is one of that name already, also if it came up just now."""
+        half = self._path(f"{name}.{uuid.uuid4().hex}.part")
+        stream = self._fs.create(half, False)
+        stream.write(bytearray(content.encode()))
+        stream.close()
+        hadoop = self._jvm.org.apache.hadoop.fs
+        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
         try:
-            stream = self._fs.create(self._path(name), False)
+            hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(half, self._path(name), options)
         except Py4JJavaError:
+            self._fs.delete(half, False)
             if self._fs.exists(self._path(name)):
                 return False
             raise
-        stream.write(bytearray(content.encode()))
-        stream.close()
         return True
 
     def delete(self, name: str) -> None:
@@ -140,11 +149,12 @@ class Catalog:
 
 
 def latest(files: Files) -> tuple[Catalog, int]:
-    """The last committed catalog, and the number of the last file; one that a writer left unfinished is passed over."""
-    numbers = sorted((int(n[:-5]) for n in files.names("catalog") if n.endswith(".json")), reverse=True)
-    for n in numbers:
-        try:
-            return Catalog.from_json(files.read(f"catalog/{n:012d}.json")), numbers[0]
-        except (ValueError, KeyError):
-            continue
-    return Catalog(), numbers[0] if numbers else 0
+    """The last committed catalog and its number. One that cannot be read is an error: to pass over it would lose its commit."""
+    numbers = [int(n[:-5]) for n in files.names("catalog") if n.endswith(".json")]
+    if not numbers:
+        return Catalog(), 0
+    n = max(numbers)
+    try:
+        return Catalog.from_json(files.read(f"catalog/{n:012d}.json")), n
+    except (ValueError, KeyError) as e:
+        raise CatalogError(f"version {n} of the catalog cannot be read") from e

@@ -195,7 +195,7 @@ def test_operators(spark):
     expected = sorted(tuple(r) for r in R.join(df, other, ("k", "k2")).collect())
     for join in (R.join_hash, R.join_merge, R.join_index):
         assert sorted(tuple(r) for r in join(df, other, ("k", "k2")).collect()) == expected
-    assert sorted(tuple(r) for r in R.join_index(df, other, ("k", "k2"), most_rows=1).collect()) == expected
+    assert sorted(tuple(r) for r in R.join_index(df, other, ("k", "k2"), most_bytes=1).collect()) == expected
 
 
 @pytest.mark.parametrize(("join", "node"), [(R.join_hash, "ShuffledHashJoin"), (R.join_merge, "SortMergeJoin"), (R.join_index, "BroadcastHashJoin")])
@@ -208,3 +208,53 @@ def test_pushdown(engine):
     """The filter and the two columns reach the scan."""
     plan = engine.query("select b from t where a = 1")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(a,1)" in plan and "ReadSchema: struct<a:int,b:int>" in plan
+
+
+def test_commit_is_whole(engine, spark):
+    """A writer halted in the middle of a commit leaves the version before it; an unreadable version is never passed over."""
+    import pytest
+
+    from sparkwright.session import Engine
+    from sparkwright.sources.storage import CatalogError
+
+    engine.update("create table u (a int)")
+    engine.update("insert into u (a) values (1)")
+    engine.commit()
+    root = engine.files.root
+    path = engine.files._path("catalog/999999999999.json.halted.part")
+    engine.files._fs.create(path, False).close()
+    other = Engine(spark, root)
+    other.update("insert into u (a) values (2)")
+    other.commit()
+    assert Engine(spark, root).query("select a from u").count() == 2
+    assert not other.files.create(f"catalog/{other._last:012d}.json", "{}")
+    engine.files._fs.create(engine.files._path(f"catalog/{other._last + 1:012d}.json"), False).close()
+    with pytest.raises(CatalogError):
+        Engine(spark, root)
+
+
+def test_settings_are_the_callers(spark):
+    from sparkwright.session import Engine
+
+    caller = spark.newSession()
+    caller.conf.set("spark.sql.files.maxPartitionBytes", "1234567")
+    caller.conf.set("spark.sql.autoBroadcastJoinThreshold", "7654321")
+    engine = Engine(caller)
+    engine.set("planner", "basic")
+    assert engine.spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    engine.set("planner", "heuristic")
+    assert engine.spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "7654321"
+    assert engine.spark.conf.get("spark.sql.files.maxPartitionBytes") == "1234567"
+
+
+def test_compaction(engine):
+    engine.update("create table c (a int)")
+    for i in range(4):
+        engine.update(f"insert into c (a) values ({i})")
+        engine.commit()
+    assert len(engine.catalog.table("c").parts) == 4
+    assert engine.update("update c set a = 9 where a = 2") == 1
+    engine.compact("c")
+    engine.commit()
+    assert len(engine.catalog.table("c").parts) == 1
+    assert sorted(r.a for r in engine.query("select a from c").collect()) == [0, 1, 3, 9]
