@@ -42,11 +42,11 @@ def predicate(terms: tuple[Term, ...], df: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, (term(t, df) for t in terms), F.lit(True))
 
 
-def constants(terms: tuple[Term, ...]) -> dict[str, int | str]:
+def constants(terms: tuple[Term, ...]) -> dict[Name, int | str]:
     """Columns that a term equates with a constant, by the first such term."""
-    out: dict[str, int | str] = {}
+    out: dict[Name, int | str] = {}
     for t in terms:
         for a, b in ((t.left, t.right), (t.right, t.left)):
             if isinstance(a, Name) and isinstance(b, Constant):
-                out.setdefault(a.column, b.value)
+                out.setdefault(a, b.value)
     return out

@@ -10,6 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 
+#: Metrics of time and their units in a millisecond.
+_TIMES = {"pipelineTime": 1, "scanTime": 1, "sortTime": 1, "aggTime": 1, "buildTime": 1, "shuffleWriteTime": 1e6}
+
+
 @dataclass
 class Node:
     """An operator of an executed plan with what Spark measured of it."""
@@ -29,8 +33,16 @@ class Node:
         known = [c.rows if c.rows is not None else c.input_rows for c in self.children]
         return sum(known) if known and None not in known else None
 
+    @property
+    def time_ms(self) -> float | None:
+        """Task time that Spark measured at this operator, or of the generated code that it is the top of."""
+        known = [self.metrics[m] / unit for m, unit in _TIMES.items() if m in self.metrics]
+        return max(known) if known else None
+
     def lines(self, depth: int = 0) -> list[str]:
-        out = [f"{'  ' * depth}-> {self.name}" + (f"  (actual rows={self.rows})" if self.rows is not None else "")]
+        actual = [f"time={self.time_ms:.1f} ms"] if self.time_ms is not None else []
+        actual += [f"rows={self.rows}"] if self.rows is not None else []
+        out = [f"{'  ' * depth}-> {self.name}" + (f"  (actual {' '.join(actual)})" if actual else "")]
         if self.detail:
             out.append(f"{'  ' * depth}     {self.detail[:160]}")
         if self.name == "Filter" and self.rows is not None and self.input_rows is not None:
@@ -58,6 +70,8 @@ def _children(plan) -> list:
 def _tree(plan) -> Node:
     children = [_tree(c) for c in _children(plan)]
     if _WRAPPERS.match(plan.nodeName()) and len(children) == 1:
+        if plan.nodeName().startswith("WholeStageCodegen"):
+            children[0].metrics["pipelineTime"] = plan.metrics().apply("pipelineTime").value()
         return children[0]
     metrics, names = {}, plan.metrics().keys().iterator()
     while names.hasNext():
@@ -71,6 +85,22 @@ def executed(df: DataFrame) -> Node:
     return _tree(df._jdf.queryExecution().executedPlan())
 
 
+def costed(df: DataFrame) -> list[str]:
+    """The optimized plan, a line a node: blocks (of 4096 bytes) read below it, rows and width as Spark estimates them."""
+
+    def walk(plan, depth: int) -> tuple[int, list[str]]:
+        found = plan.children()
+        below = [walk(found.apply(i), depth + 1) for i in range(found.size())]
+        stats, width = plan.stats(), max(plan.schema().defaultSize(), 1)
+        size = int(str(stats.sizeInBytes()))
+        blocks = sum(b for b, _ in below) if below else -(-size // 4096)
+        rows = int(str(stats.rowCount().get())) if stats.rowCount().isDefined() else size // width
+        line = f"{'  ' * depth}-> {plan.nodeName().strip()}  (cost=0..{blocks} rows={rows} width={width})"
+        return blocks, [line, *(text for _, lines in below for text in lines)]
+
+    return walk(df._jdf.queryExecution().optimizedPlan(), 0)[1]
+
+
 def estimate(df: DataFrame) -> str:
     """Spark's formatted plan, and the optimizer's estimates."""
     execution = df._jdf.queryExecution()
