@@ -42,6 +42,40 @@ def predicate(terms: tuple[Term, ...], df: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, (term(t, df) for t in terms), F.lit(True))
 
 
+#: Catalyst's comparisons for equality.
+_EQUALITIES = {"EqualTo", "EqualNullSafe", "In"}
+_NUMBERS = {"byte", "short", "integer", "long", "float", "double", "decimal"}
+
+
+def mixed_equalities(df: DataFrame) -> list[str]:
+    """The equalities of an analysed query in which Spark itself casts between a text and a number."""
+    sequence = lambda s: (s.apply(i) for i in range(s.size()))
+    by_user = df.sparkSession._jvm.org.apache.spark.sql.catalyst.expressions.Cast.USER_SPECIFIED_CAST()
+    named = lambda kind: "number" if (name := kind.typeName().split("(")[0]) in _NUMBERS else name
+    out: list[str] = []
+
+    def coerced(e) -> bool:
+        if e.getClass().getSimpleName() != "Cast" or e.getTagValue(by_user).isDefined():
+            return False
+        return {named(e.dataType()), named(e.child().dataType())} == {"number", "string"}
+
+    def walk_expression(e) -> None:
+        children = list(sequence(e.children()))
+        if e.getClass().getSimpleName() in _EQUALITIES and any(map(coerced, children)):
+            out.append(e.sql())
+        for c in children:
+            walk_expression(c)
+
+    def walk(plan) -> None:
+        for e in sequence(plan.expressions()):
+            walk_expression(e)
+        for p in (*sequence(plan.children()), *sequence(plan.subqueries())):
+            walk(p)
+
+    walk(df._jdf.queryExecution().analyzed())
+    return out
+
+
 def constants(terms: tuple[Term, ...]) -> dict[Name, int | str]:
     """Columns that a term equates with a constant, by the first such term."""
     out: dict[Name, int | str] = {}

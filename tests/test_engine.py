@@ -131,6 +131,23 @@ def test_superset(engine):
     assert [r.b for r in engine.query("select b from t order by b desc limit 2").collect()] == [30, 20]
 
 
+def test_equalities_beyond_the_dialect_keep_its_typing(engine):
+    assert rows(engine, "select a from t where a = '2'") == []
+    engine.update("create table s (c varchar(3))")
+    engine.update("insert into s (c) values ('1'), ('x')")
+    for sql in (
+        "select a from t where a = '2' order by a",
+        "select a from t where a in ('2', '3') order by a",
+        "select b from t join s on a = c order by b",
+        "select a from t where exists (select 1 from s where c = a) order by a",
+        "select a from t where b in (select b from t where a = '1' order by b)",
+    ):
+        with pytest.raises(DialectError, match="compared with a number"):
+            engine.query(sql)
+    assert rows(engine, "select b from t join s on cast(a as string) = c order by b") == [(10,), (30,)]
+    assert rows(engine, "select a from t where a = 2 and 1.0 = 1 order by a") == [(2,)]
+
+
 def test_inspection(engine):
     sql = "select b from t where a = 1"
     assert "Scan parquet" in engine.explain(sql)
