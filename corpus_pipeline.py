@@ -8,13 +8,24 @@ the operators state.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm import byte_bpe, line_dedup, mixing, near_dup, quality
 from sparkwright.llm.common import WORD, Tables, load
 
 
+def held(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns own of docs and all others in one, so that an operator's result columns replace none of them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*others).alias("others") if others else F.lit(0).alias("others"))
+
+
+def released(docs: DataFrame, *own: str) -> list[Column]:
+    """The columns of docs, from held()."""
+    return [F.col(c) if c in own else F.col("others")[c].alias(c) for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules and the trees keep."""
     return quality.keep(docs, quality.train(docs, load(spark, sf_dir, "labels")))
@@ -22,10 +33,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line equals or resembles; one whose words all went with them goes."""
-    found = line_dedup.dedup(docs).where((F.col("_n_removed") == 0) | F.col("_kept").rlike(WORD))
-    changed = F.col("_n_removed") > 0
-    new = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    found = line_dedup.dedup(held(docs, "doc_id", "text")).where((F.col("_n_removed") == 0) | F.col("_kept").rlike(WORD))
+    changed, given = F.col("_n_removed") > 0, dict(zip(docs.columns, released(docs, "doc_id", "text"), strict=True))
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return found.select(*(F.when(changed, new[c]).otherwise(given[c]).alias(c) if c in new else given[c] for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources; a document that it takes n times is there n times."""
     text = F.col("text")
-    mixed = mixing.mix(docs, mixing.words(text), mixing.quality_weight(text), ties=F.xxhash64(text))
-    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    own = ("doc_id", "text", "source")
+    mixed = mixing.mix(held(docs, *own), mixing.words(text), mixing.quality_weight(text), ties=F.xxhash64(text))
+    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*released(docs, *own))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
