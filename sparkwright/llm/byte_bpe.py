@@ -5,7 +5,8 @@ tokenizers library, whose byte-level stage maps bytes to characters, and its ids
 a bounded table; a text's ids are the concatenation. Decoding reverses the byte table: every id stands for some
 bytes, and characters that tokens split between them come together again when the bytes are joined.
 
-Nulls and empty texts have no tokens and decode to nothing. Repeated rows give repeated results.
+Nulls and empty texts have no tokens and decode to nothing. Repeated rows give repeated results, an empty table gives no
+rows. The result has columns of its own only, whatever the table's other columns are called.
 """
 
 from __future__ import annotations

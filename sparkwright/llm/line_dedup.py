@@ -17,7 +17,8 @@ stay, as empty lines do. Distinct lines go by 128-bit digests of their bytes; th
 decide nothing. Null and empty texts have one empty line; an empty table gives no rows.
 
 Rows of equal doc_id are told apart by their texts; rows without doc_id come after all others. Of rows that are equal
-in doc_id and text one, undefined which, is the first: the others lose every line that can go.
+in doc_id and text one, undefined which, is the first: the others lose every line that can go. All columns of the table
+come back, but for those that have the names of the result's own, which take their place.
 """
 
 from __future__ import annotations

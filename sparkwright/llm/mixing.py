@@ -9,7 +9,9 @@ Running sums are taken in two levels, so that no source meets in one task: keys
 function, sums run within (source, bucket), and the buckets' totals give each its start. Keys come from a hash of
 doc_id and a seed, so that reruns agree; rows that are alike in key and text are interchangeable.
 
-Nulls: a null text has size 0, a null source is a source of its own that comes last. Empty tables give no rows.
+Nulls: a null text has size 0, a null source is a source of its own that comes last. Empty tables give no rows. Repeated
+rows are documents of their own, each drawn once; those of equal keys, ids and ties are taken in any order. All columns of
+the table come back, but for those that have the names of the result's own, which take their place.
 """
 
 from __future__ import annotations

@@ -40,6 +40,27 @@ def test_edges(edges, clashing, empty, name):
     assert OPERATORS[name](empty).collect() == []
 
 
+def test_edges_with_fitted_models(edges, clashing, empty, docs, labels):
+    """The operators that learn, with a model from the tables' own labels; equal rows have equal results."""
+    trees, lexicon, field = quality.train(docs, labels), toxicity.train(docs, labels), pii.train(docs)
+    assert trees is not None and lexicon is not None and field is not None
+    fitted = {"quality": lambda d: quality.assess(d, trees), "toxicity": lambda d: toxicity.rate(d, lexicon), "pii": lambda d: pii.find(d, field)}
+    for name, run in fitted.items():
+        got = run(clashing).collect()
+        assert len(got) == edges.count(), name
+        assert len({str(r) for r in got if r.doc_id == 5}) == 1, name
+        assert run(empty).collect() == [], name
+        by_id = {r.doc_id: r for r in got}
+        if name == "quality":
+            assert not by_id[1].kept and not by_id[7].kept and all(0 <= r.score <= 1 for r in got)
+        elif name == "toxicity":
+            assert all(0 <= r.score < 0.5 for r in got) and by_id[1].score == by_id[2].score == 0
+        else:
+            assert all(r.spans == [] for r in got)
+    kept = quality.keep(clashing, trees)
+    assert kept.columns == clashing.columns and quality.keep(empty, trees).collect() == []
+
+
 def test_keep(clashing):
     assert sorted(r.doc_id or 0 for r in quality.keep(clashing, None).collect()) == [0, 5, 5]
 

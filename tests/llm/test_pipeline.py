@@ -61,3 +61,17 @@ def test_repeated_rows_and_nulls(spark, edges, sf_dir):
     lines = P.lines(spark, edges.where(F.col("doc_id").isNull() | (F.col("doc_id") < 6)), sf_dir).collect()
     assert len(lines) == 6  # the second of the two equal rows has lost its only line, and goes with it
     assert sum(r.doc_id == 5 for r in lines) == 1
+
+
+def test_every_stage_takes_edges_and_empty_tables(spark, clashing, empty, sf_dir):
+    """Nulls, repeated rows and columns of any names pass through all stages; an empty table stays empty."""
+    for name, stage in P.STAGES:
+        out = stage(spark, clashing, sf_dir)
+        rows = out.collect()
+        assert stage(spark, empty, sf_dir).collect() == [], name
+        if name == "byte_bpe":
+            assert len(rows) == clashing.count()
+        else:
+            assert out.columns == clashing.columns, name
+            given = {tuple(r) for r in clashing.drop("text", "n_chars").collect()}
+            assert {tuple(r) for r in out.drop("text", "n_chars").collect()} <= given, name
