@@ -129,15 +129,18 @@ def whole(docs: DataFrame, tables: Tables) -> DataFrame:
     return alone.join(several, "doc_id", "left_anti").union(together)
 
 
-def rectangles(members: DataFrame, blocks: tuple[Column, Column]) -> DataFrame:
+def rectangles(members: DataFrame, blocks: tuple[Column, Column], contents: DataFrame | None = None) -> DataFrame:
     """members (group, doc_id, left, ...) with low, high and side: cells in which the left ones meet all.
 
     blocks: how many blocks the left ones and all of a group have, of n_left, n and total (shingles, if there are any).
+    contents: further columns by doc_id, joined before a member is copied to its cells.
     """
     weight = F.sum("n_shingles") if "n_shingles" in members.columns else F.lit(0)
     sizes = members.groupBy("group").agg(F.sum(F.col("left").cast("long")).alias("n_left"), F.count("*").alias("n"), weight.alias("total"))
     counts = sizes.select("group", blocks[0].cast("int").alias("n_low"), blocks[1].cast("int").alias("n_high"))
     placed = members.join(apart(counts), "group")
+    if contents is not None:
+        placed = placed.join(contents, "doc_id")
     deal = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = placed.where("left").withColumn("low", deal("n_low", 1)).withColumn("high", every("n_high")).withColumn("side", F.lit(0))
@@ -163,30 +166,39 @@ def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def candidates(reps: DataFrame, tables: Tables) -> DataFrame:
-    """(a, b): pairs of representatives (doc_id, sketches) that connect all that meet in a bucket with enough equal sketches."""
+    """(a, b): pairs of representatives (doc_id, sketches) that connect all that meet in a bucket with enough equal sketches.
+
+    What a document meets is gathered by its doc_id, one entry a table at most, before sketches are joined to it.
+    """
     n_parts = partitions(reps.sparkSession)
     left = reps.select("doc_id", F.posexplode(F.slice("sketches", 1, SKETCHES)).alias("i", "h")).select("doc_id", F.xxhash64("i", "h").alias("left"))
     shared = left.groupBy("left").agg(F.count("*").alias("n")).where("n > 1").select("left")
-    right = left.join(apart(shared), "left").join(reps, "doc_id").select("doc_id", "left", F.posexplode(F.slice("sketches", SKETCHES + 1, SKETCHES)).alias("j", "h"))
-    buckets = right.select("doc_id", F.xxhash64("left", "j", "h").alias("group"))
+    lefts = left.join(apart(shared), "left").groupBy("doc_id").agg(F.collect_list("left").alias("lefts")).join(reps, "doc_id")
+    right = lefts.select("doc_id", "lefts", F.posexplode(F.slice("sketches", SKETCHES + 1, SKETCHES)).alias("j", "h"))
+    buckets = right.select("doc_id", F.explode(F.transform("lefts", lambda x: F.xxhash64(x, "j", "h"))).alias("group"))
     first = buckets.groupBy("group").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("group", "a")
-    met = tables.write(buckets.join(apart(first), "group").where("a <> doc_id"), "met")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     one = reps.select(F.col("doc_id").alias("a"), F.col("sketches").alias("sa"))
     two = reps.select("doc_id", F.col("sketches").alias("sb"))
-    compare = lambda rows: rows.select("a", "doc_id").distinct().join(one, "a").join(two, "doc_id").select("a", "doc_id", (equal >= LEAST_EQUAL).alias("near"))
     edges = lambda stars: stars.where("near").select("a", F.col("doc_id").alias("b"))
 
-    stars = tables.write(compare(met), "stars")
+    def compare(met: DataFrame, bucket: Column, met_name: str, name: str) -> DataFrame:
+        """(a, doc_id, near, buckets): whether members are near to the centres a of the buckets in which they met."""
+        pairs = met.repartition(n_parts, "doc_id").groupBy("doc_id", "a").agg(F.collect_list(bucket).alias("buckets"))
+        meets = tables.write(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "buckets")).alias("meets")), met_name)
+        each = meets.join(two, "doc_id").select("doc_id", "sb", F.inline("meets"))
+        return tables.write(each.join(one, "a").select("a", "doc_id", (equal >= LEAST_EQUAL).alias("near"), "buckets"), name)
+
+    stars = compare(buckets.join(apart(first), "group").where("a <> doc_id"), F.col("group"), "met", "stars")
     if stars.where("not near").isEmpty():
         return edges(stars)
-    flagged = met.join(stars, ["a", "doc_id"]).select("group", "doc_id", "near")
+    flagged = stars.select("doc_id", "near", F.explode("buckets").alias("group"))
     second = flagged.where("not near").groupBy("group").agg(F.min("doc_id").alias("a"))
-    again = tables.write(flagged.join(apart(second), "group").where("doc_id <> a"), "again")
-    stars2 = tables.write(compare(again), "stars-2")
-    both = again.join(stars2.withColumnRenamed("near", "near2"), ["a", "doc_id"])
-    open_ = tables.write(undecided(both), "undecided")
-    cells = rectangles(open_, tuple(F.ceil(F.col(n) / SKETCH_BLOCK) for n in ("n_left", "n"))).join(reps, "doc_id")
+    stars2 = compare(flagged.join(apart(second), "group").where("doc_id <> a"), F.struct("group", F.col("near").alias("near1")), "met-2", "stars-2")
+    both = stars2.select("doc_id", F.col("near").alias("near2"), F.inline("buckets")).withColumnRenamed("near1", "near")
+    members = undecided(both).groupBy("doc_id").agg(F.collect_list(F.struct("group", "left")).alias("of")).join(reps.select("doc_id", "sketches"), "doc_id")
+    open_ = tables.write(members.select("doc_id", "sketches", F.inline("of")), "undecided")
+    cells = rectangles(open_, tuple(F.ceil(F.col(n) / SKETCH_BLOCK) for n in ("n_left", "n")))
 
     def cell(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, low, high = _sides(rows)
@@ -313,7 +325,7 @@ def links(families: DataFrame, docs: DataFrame, width: int, percent: int, tables
     both = one.select("group", "doc_id", "near").join(two.select("group", "doc_id", F.col("near").alias("near2")), ["group", "doc_id"])
     open_ = tables.write(undecided(both).join(families.select("doc_id", "n_shingles"), "doc_id"), "undecided-links")
     half = lambda n: F.greatest(F.ceil(2 * F.col(n) / BLOCK_ROWS), F.ceil(2 * F.col("total") * F.col(n) / F.col("n") / BLOCK_SHINGLES))
-    cells = rectangles(open_.select("group", "doc_id", "left", "n_shingles"), (half("n_left"), half("n"))).join(large.select("doc_id", "set"), "doc_id")
+    cells = rectangles(open_.select("group", "doc_id", "left", "n_shingles"), (half("n_left"), half("n")), large.select("doc_id", "set"))
 
     def cell(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, low, high = _sides(rows)
