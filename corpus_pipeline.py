@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from sparkwright.llm import byte_bpe, line_dedup, mixing, near_dup, quality
 from sparkwright.llm.common import WORD, Tables, load
 
+#: Ids of documents to drop that may be broadcast; with more, the documents themselves are shuffled.
+FEW_IDS = 1_000_000
+
 
 def held(docs: DataFrame, *own: str) -> DataFrame:
     """The columns own of docs and all others in one, so that an operator's result columns replace none of them."""
@@ -42,7 +45,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8); of repeated rows, one."""
     found = Tables(spark, "near-dup-verdicts").write(near_dup.near_duplicates(docs).select("doc_id", "kept"), "verdicts")
-    rest = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("not kept").select("doc_id").distinct()
+    rest = docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = not found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     return rest.distinct() if repeated else rest
 

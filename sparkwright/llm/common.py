@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +43,10 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
-    """df.mapInArrow of a function of one batch, or of slices of so many rows; batches of no rows are skipped."""
+    """df.mapInArrow of a function of one batch, or of slices of so many rows; batches of no rows are skipped.
+
+    After each slice the worker gives back the memory that is free, so that a task's memory does not grow with its slices.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,14 +54,36 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             for at in range(0, batch.num_rows, step or 1):
                 if (out := fn(batch.slice(at, step))) is not None:
                     yield out
+                if rows:
+                    out = None
+                    give_back()
 
     return map_batches(df, run, schema)
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    """The C library's malloc_trim, where there is one."""
+    return getattr(ctypes.CDLL(None) if os.name == "posix" else None, "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Returns the memory that this process has freed to the system; a worker that waits for tasks would keep it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow on executors that have the package."""
+    """df.mapInArrow on executors that have the package; after each task its worker gives back the memory that is free."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def partitions(spark: SparkSession) -> int:
